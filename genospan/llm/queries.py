@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import mixing, simhash
 from .common import table
+from .mixing_sql import mix_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +17,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op8_simhash_near_dedup,)}
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_mix_sources, op8_simhash_near_dedup)}
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_mix_sources": mix_sql()}
