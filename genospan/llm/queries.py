@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import mixing, pieces, simhash, tokenfile
 from .common import table
 from .mixing_sql import mix_sql
 
+BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, on this host and on the executors alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digests(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), vocabulary(PIECES), digests=True)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -21,7 +39,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_mix_sources, op8_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files, op5_mix_sources, op7_sentencepiece, op8_simhash_near_dedup)}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op5_mix_sources": mix_sql()}
