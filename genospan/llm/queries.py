@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, simhash, tokenfile
+from . import langid, minhash, mixing, pieces, simhash, tokencount, tokenfile
 from .common import table
 from .mixing_sql import mix_sql
 
@@ -23,6 +23,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
 
@@ -39,7 +43,15 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files, op5_mix_sources, op7_sentencepiece, op8_simhash_near_dedup)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_counts, op4_token_files, op5_mix_sources, op7_sentencepiece, op8_simhash_near_dedup, op9_language_id, op10_minhash_fingerprints)}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op5_mix_sources": mix_sql()}
