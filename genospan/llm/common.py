@@ -102,3 +102,37 @@ def components_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             root = jumped
         if np.array_equal(before, root):
             return nodes, nodes[root]
+
+
+#: Longer keys are not remembered beyond the call that learned them.
+LONG_KEY = 64
+
+
+class Recall:
+    """A bounded memory of strings met, in two generations: the older one goes when the younger is full."""
+
+    def __init__(self, most: int):
+        self.half = max(1, most // 2)
+        self.passing: list = []
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def holding(self, rows: list[list], learn: Callable[[list], dict]) -> dict:
+        """A dict that has every key of ``rows``; keys in neither generation are learned together."""
+        for k in self.passing:
+            self.young.pop(k, None)
+        fresh = set().union(*rows).difference(self.young)
+        if len(self.young) + len(fresh) > self.half:
+            self.old, self.young = self.young, {}
+            fresh = set().union(*rows)
+        young, old = self.young, self.old
+        new = []
+        for k in fresh:
+            if k in old:
+                young[k] = old[k]
+            else:
+                new.append(k)
+        if new:
+            young.update(learn(new))
+        self.passing = [k for k in new if len(k) > LONG_KEY]
+        return young

@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Recall
+
 SPACE = "▁"
 _RUN = re.compile(" +[^ ]*")
-_LONG_UNIT = 64
 
 
 class CharacterMap:
@@ -106,7 +107,7 @@ class PieceEncoder:
     next, and ids, spans and decoded bytes of a text are those of its units.
     """
 
-    def __init__(self, model_path: str, memory: int = 600_000):
+    def __init__(self, model_path: str, memory: int = 300_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as model
 
@@ -134,8 +135,7 @@ class PieceEncoder:
         self.bos, self.eos = self.sp.bos_id(), self.sp.eos_id()
         #: Normalised bytes of each piece; a byte piece is one byte.
         self.widths = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces], dtype=np.int64)
-        self.memory = memory
-        self.known: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.known = Recall(memory)
 
     def _learn(self, units: list[str]) -> dict[str, tuple[bytes, bytes, bytes]]:
         """unit without its first blank -> (ids, source bytes of each piece after a real blank, decoded bytes)."""
@@ -170,13 +170,7 @@ class PieceEncoder:
             else:
                 units = text.split(" ")
             split.append(units)
-        known = self.known
-        fresh = {u for units in split for u in units if u not in known}
-        if len(known) + len(fresh) > self.memory:
-            known.clear()
-            fresh = {u for units in split for u in units}
-        if fresh:
-            known.update(self._learn(list(fresh)))
+        known = self.known.holding(split, self._learn)
         out = []
         bos, eos = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         for text, units in zip(texts, split, strict=True):
@@ -187,8 +181,6 @@ class PieceEncoder:
             if SPACE in text:
                 ends = self._project(text, ids)
             out.append((ids, ends, b" ".join([g[2] for g in got])))
-        for u in [u for u in fresh if len(u) > _LONG_UNIT]:
-            del known[u]
         return out
 
     def _project(self, text: str, ids: np.ndarray) -> np.ndarray:

@@ -120,7 +120,7 @@ class _Counts(dict):
 _COUNTS: dict[str, _Counts] = {}
 
 
-def counts_of(path: str, memory: int = 1_000_000) -> _Counts:
+def counts_of(path: str, memory: int = 600_000) -> _Counts:
     if path not in _COUNTS:
         _COUNTS[path] = _Counts(LongestMatch(*byte_vocabulary(path)), memory)
     return _COUNTS[path]

@@ -33,12 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, scratch
+from .common import Recall, parallelism, scratch
 
 # Fixed values of the public seekable format.
 _ID_MAGIC, _SEEK_MAGIC, _END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
-_LONG_UNIT = 64
 #: A blank that is followed by a visible character: byte-level pretokens never reach across it.
 _CUT = re.compile(r" (?=[^\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁯　﻿])")
 #: Without these only blank, \\t, \\n, \\v, \\f and \\r are white space.
@@ -58,39 +57,33 @@ class UnitEncoder:
     text are those of its units in turn. ``memory`` bounds the units held.
     """
 
-    def __init__(self, tokenizer_path: str, memory: int = 1_000_000):
+    def __init__(self, tokenizer_path: str, memory: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memory = memory
-        self.known: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.known = Recall(memory)
+        self.pretokens = Recall(memory // 2)
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         hidden = iter(range(256, 512))
         self.spell = {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
-    def _learn(self, units: list[str]) -> None:
-        """Remember the ids of new units (without their blank): pretokens through the model, odd units through the whole tokenizer."""
-        tokenize, spell, pretokens = self.tokenizer.model.tokenize, self.spell, self.pretokens
-        if len(pretokens) > self.memory:
-            pretokens.clear()
-        odd = []
-        for unit in units:
-            if not _PLAIN.fullmatch(unit):
-                odd.append(unit)
-                continue
-            ids = b""
-            for token in _PRETOKENS.findall(f" {unit}"):
-                got = pretokens.get(token)
-                if got is None:
-                    got = array("I", [t.id for t in tokenize(token.encode().decode("latin-1").translate(spell))]).tobytes()
-                    pretokens[token] = got
-                ids += got
-            self.known[unit] = ids
+    def _learn(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of new units (without their blank): pretokens through the model, odd units through the whole tokenizer."""
+        plain, odd = [], []
+        for u in units:
+            (plain if _PLAIN.fullmatch(u) else odd).append(u)
+        split = [_PRETOKENS.findall(f" {u}") for u in plain]
+        ids = self.pretokens.holding(split, self._tokens)
+        out = {u: b"".join(map(ids.__getitem__, s)) for u, s in zip(plain, split, strict=True)}
         if odd:
-            self.known.update(zip(odd, self._plain([f" {u}" for u in odd]), strict=True))
+            out.update(zip(odd, self._plain([f" {u}" for u in odd]), strict=True))
+        return out
+
+    def _tokens(self, pretokens: list[str]) -> dict[str, bytes]:
+        tokenize, spell = self.tokenizer.model.tokenize, self.spell
+        return {p: array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(spell))]).tobytes() for p in pretokens}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -103,17 +96,10 @@ class UnitEncoder:
                 split.append(_CUT.split(text))
             else:
                 split.append(text.split(" "))
-        known = self.known
-        fresh = {u for units in split for u in units[1:] if u not in known}
-        if len(known) + len(fresh) > self.memory:
-            known.clear()
-            fresh = {u for units in split for u in units[1:]}
-        if fresh:
-            self._learn(list(fresh))
+        rest = [units[1:] for units in split]
+        known = self.known.holding(rest, self._learn)
         first = self._plain([units[0] for units in split])
-        out = [f + b"".join(map(known.__getitem__, units[1:])) for f, units in zip(first, split, strict=True)]
-        for u in [u for u in fresh if len(u) > _LONG_UNIT]:
-            del known[u]
+        out = [f + b"".join(map(known.__getitem__, units)) for f, units in zip(first, rest, strict=True)]
         return out
 
 
@@ -219,8 +205,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, end = encoder(tokenizer_path), zstandard.ZstdCompressor(level=3, write_checksum=True), struct.pack("<I", end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 ids = part.column(0).to_pylist()
                 plain = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
                 frames = [pack(x, packer) for x in plain]
