@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, pieces, repeats, simhash, tokencount, tokenfile
+from . import langid, minhash, mixing, pieces, repeats, simhash, tokencount, tokenfile, toxicity
 from .common import table
 from .mixing_sql import mix_sql
 
@@ -35,6 +35,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), vocabulary(PIECES), digests=True)
 
@@ -55,7 +59,7 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_suffix_array_dedup, op3_token_counts, op4_token_files, op5_mix_sources, op7_sentencepiece, op8_simhash_near_dedup, op9_language_id, op10_minhash_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_suffix_array_dedup, op3_token_counts, op4_token_files, op5_mix_sources, op6_toxicity, op7_sentencepiece, op8_simhash_near_dedup, op9_language_id, op10_minhash_fingerprints)}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op5_mix_sources": mix_sql()}
