@@ -148,12 +148,15 @@ class LabelModel:
         self.weight = np.ones(m)
         known = v[:, -1] != 0
         for r in range(rounds if n else 0):
+            if r == 0:
+                # Voters that nearly repeat each other count once from the start, whatever the label.
+                self._dependencies(v, np.full(n, 0.5), 0.6)
             post = self.posterior(v)
             if r == 0 and known.sum() >= 50:
                 # Start from what labelled rows say of each voter, softened; the rest follows the voters.
                 post = np.where(known, np.where(v[:, -1] > 0, 0.8, 0.02), post * 0.1)
             if r == rounds // 2:
-                self._dependencies(v, post)
+                self._dependencies(v, post, 0.2)
                 post = self.posterior(v)
             self.prior = float(np.clip(post.mean(), 1e-4, 0.5))
             for y, q in ((0, 1 - post), (1, post)):
@@ -162,8 +165,8 @@ class LabelModel:
                 self.p[y] = got / got.sum(axis=1, keepdims=True)
         return self
 
-    def _dependencies(self, v: np.ndarray, post: np.ndarray) -> None:
-        """Correlation of each pair of voters within the classes; a voter's weight is one over its correlated mass."""
+    def _dependencies(self, v: np.ndarray, post: np.ndarray, least: float) -> None:
+        """Correlation of each pair of voters within the classes; a voter's weight is at most one over its correlated mass."""
         x = v.astype(np.float64)
         both = np.zeros((v.shape[1], v.shape[1]))
         for q in (1 - post, post):
@@ -173,8 +176,8 @@ class LabelModel:
         size = np.sqrt(np.maximum(np.diag(both), 1e-12))
         self.correlation = np.abs(both / np.outer(size, size))
         np.fill_diagonal(self.correlation, 1.0)
-        strong = np.where(self.correlation > 0.2, self.correlation, 0.0)
-        self.weight = 1.0 / np.maximum(strong.sum(axis=1), 1.0)
+        strong = np.where(self.correlation > least, self.correlation, 0.0)
+        self.weight = np.minimum(self.weight, 1.0 / np.maximum(strong.sum(axis=1), 1.0))
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         ratio = np.log(np.maximum(self.p[1], 1e-9)) - np.log(np.maximum(self.p[0], 1e-9))
@@ -191,7 +194,7 @@ class Classifier:
         self.w = np.zeros(len(self.index))
         self.b = -2.0
 
-    def fit(self, x: np.ndarray, target: np.ndarray, rounds: int = 400) -> Classifier:
+    def fit(self, x: np.ndarray, target: np.ndarray) -> Classifier:
         """``x``: presence of each word (rows by words). Ridge-penalised Newton steps on the words that occur."""
         if not len(x):
             return self
@@ -200,7 +203,7 @@ class Classifier:
         base = float(np.clip(target.mean(), 1e-3, 0.999))
         w = np.zeros(own.shape[1])
         w[-1] = math.log(base / (1 - base))
-        ridge = np.full(len(w), 0.5)
+        ridge = np.full(len(w), 0.03)
         ridge[-1] = 0.0
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
@@ -247,7 +250,8 @@ def learn(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
         return model
     label = np.array([0 if t is None else 1 if t else -1 for t in got.column("toxic").to_pylist()], dtype=np.int8)
     v = np.stack([np.frombuffer(x, np.int8) for x in got.column("votes").to_pylist()])
-    return model.fit(v[:, : len(index)] > 0, LabelModel().fit(np.concatenate([v, label[:, None]], axis=1)).posterior(np.concatenate([v, np.zeros_like(label)[:, None]], axis=1)))
+    every = np.concatenate([v, label[:, None]], axis=1)
+    return model.fit(v[:, : len(index)] > 0, LabelModel().fit(every).posterior(every))
 
 
 def score(docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD) -> DataFrame:
