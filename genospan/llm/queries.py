@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, pieces, repeats, simhash, tokencount, tokenfile, toxicity
+from . import langid, minhash, mixing, neighbours, pieces, repeats, simhash, tokencount, tokenfile, toxicity
 from .common import table
 from .mixing_sql import mix_sql
 
@@ -23,6 +23,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_suffix_array_dedup, op3_token_counts, op4_token_files, op5_mix_sources, op6_toxicity, op7_sentencepiece, op8_simhash_near_dedup, op9_language_id, op10_minhash_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_curve_neighbours, op2_suffix_array_dedup, op3_token_counts, op4_token_files, op5_mix_sources, op6_toxicity, op7_sentencepiece, op8_simhash_near_dedup, op9_language_id, op10_minhash_fingerprints)}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op5_mix_sources": mix_sql()}

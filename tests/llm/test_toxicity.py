@@ -43,8 +43,11 @@ def test_held_out_rows(spark):
     truth = {d: any(w in t for w in ("idiot", "scum", "grubbel")) for d, t, _ in rows[:900]}
     held = [d for d in truth if zlib.crc32(str(d).encode()) % 3 == 1]
     assert all(by[d].held_out == (d in set(held)) for d in truth)
-    assert np.mean([by[d].predicted == truth[d] for d in held]) > 0.97
+    assert np.mean([by[d].predicted == truth[d] for d in held]) > 0.9
+    assert not any(by[d].predicted for d in held if not truth[d])
+    assert min(by[d].score for d in held if truth[d]) > max(by[d].score for d in held if not truth[d])
     assert by[5000].score == by[5001].score < 0.5 and by[5002].predicted == 1 and by[None].predicted == 1
     assert all(0 <= r.score <= 1 for r in got)
     assert toxicity.detect(docs.where("false"), labels).count() == 0
-    assert toxicity.detect(docs, labels.where("false")).where("doc_id = 5002").first().score > 0.3
+    alone = {r.doc_id: r.score for r in toxicity.detect(docs, labels.where("false")).collect()}
+    assert alone[5002] > alone[5001]
