@@ -248,19 +248,37 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield from flush()
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """(doc, base, copies, text): one row a distinct (doc_id, text).
+def _placed(docs: DataFrame, riding: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(doc, base, copies, text) of every row to answer for, and of one row a distinct (doc_id, text).
 
     Rows that share a doc_id are one document, their texts in order of hash;
     ``base`` is where a text starts in it. Matches never cross texts.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *riding)
     shared = rows.groupBy("doc").count().where("count > 1").limit(1).count()
     if not shared:
-        return rows.select("doc", F.lit(0).alias("base"), F.lit(1).alias("copies"), "text")
-    once = rows.groupBy("doc", "text").agg(F.count("*").cast("int").alias("copies"))
+        alone = rows.select("doc", F.lit(0).alias("base"), F.lit(1).alias("copies"), "text", *riding)
+        return alone, alone
+    distinct = rows.groupBy("doc", "text").agg(F.count("*").cast("int").alias("copies"))
     before = Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, -1)
-    return stash(once.select("doc", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("int").alias("base"), "copies", "text"), "repeats-texts")
+    placed = stash(distinct.select("doc", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("int").alias("base"), "copies", "text"), "repeats-texts")
+    if not riding:
+        return placed, placed
+    # Columns differ between rows of one text: each row comes back, cut like the text it repeats.
+    return rows.join(placed.select("doc", "text", "base"), ["doc", "text"]).select("doc", "base", F.lit(1).alias("copies"), "text", *riding), placed
+
+
+def _merged(found: list[dict] | None, base: int, size: int) -> list[tuple[int, int]]:
+    """Maximal spans of one text, in its own bytes."""
+    merged: list[list[int]] = []
+    for a, b in sorted((max(f["lo"] - base, 0), min(f["lo"] - base + f["bytes"], size)) for f in found or ()):
+        if a >= b:
+            continue  # of another text with this doc_id
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return [(a, b) for a, b in merged]
 
 
 def _kept(finish: Callable[[bytes, list[tuple[int, int]]], tuple], names: list[str], kinds: list[pa.DataType]):
@@ -271,16 +289,7 @@ def _kept(finish: Callable[[bytes, list[tuple[int, int]]], tuple], names: list[s
             spans = batch.column("spans").to_pylist()
             out: list[tuple] = []
             for doc, base, times, raw, found in zip(ids, bases, copies, texts, spans, strict=True):
-                merged: list[list[int]] = []
-                for s in sorted((f["lo"] - base, f["lo"] - base + f["bytes"]) for f in found or ()):
-                    s = max(s[0], 0), min(s[1], len(raw))
-                    if s[0] >= s[1]:
-                        continue  # of another text with this doc_id
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append([*s])
-                out += [(None if doc == NO_ID else doc, *finish(raw, [(a, b) for a, b in merged]))] * times
+                out += [(None if doc == NO_ID else doc, *finish(raw, _merged(found, base, len(raw))))] * times
             if out:
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), [pa.int64(), *kinds], strict=True)], names=["doc_id", *names])
 
@@ -294,21 +303,22 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _spanned(docs: DataFrame) -> DataFrame:
+def _spanned(docs: DataFrame, riding: list[str] | None = None) -> DataFrame:
     """(doc, base, copies, text, spans) of every distinct text; a text moves once, to its doc's partition."""
     spark = docs.sparkSession
     n = parallelism(spark)
-    texts = _placed(docs)
-    initial = texts.select("doc", "base", "text").mapInArrow(_initial, _ROW)
+    riding = riding or []
+    texts, once = _placed(docs, riding)
+    initial = once.select("doc", "base", "text").mapInArrow(_initial, _ROW)
     sorted_ = initial.repartition(n, "a").sortWithinPartitions("a", "b", "doc", "lo")
     refined = stash(sorted_.mapInArrow(_refine, _ROW), "repeats-refined")
-    home = texts.repartition(n, "doc")
+    home = texts.repartition(n, "doc")  # the same exchange serves both joins below
     runs = refined.where("n > 0").groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "n")).alias("runs"))
-    named = home.select("doc", "base", "copies", "text").join(runs.hint("shuffle_hash"), "doc").select("doc", "base", "text", "runs").mapInArrow(_name_windows, _ROW)
+    named = home.join(runs.hint("shuffle_hash"), "doc").select("doc", "base", "text", "runs").mapInArrow(_name_windows, _ROW)
     windows = named.repartition(n, "a").sortWithinPartitions("a", "b", "doc", "lo").mapInArrow(_repeated_windows, "doc long, lo int, bytes int")
     known = refined.where("n < 0").select("doc", "lo", (-F.col("n")).alias("bytes"))
     spans = known.union(windows).groupBy("doc").agg(F.collect_list(F.struct("lo", "bytes")).alias("spans"))
-    return home.select("doc", "base", "copies", "text").join(spans.hint("shuffle_hash"), "doc", "left")
+    return home.join(spans.hint("shuffle_hash"), "doc", "left")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
@@ -328,10 +338,30 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     return _spanned(docs).mapInArrow(_kept(finish, names, [pa.int64(), pa.int64(), pa.int64(), pa.string()]), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, original, kept): each text and what is left of it; bytes of a character that is cut apart go too."""
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with every repeated byte cut from ``text``, and ``n_chars`` following where there is such a column.
 
-    def finish(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
-        return hashlib.blake2b(raw, digest_size=16).hexdigest(), _cut(raw, spans).decode(errors="ignore")
+    Bytes of a character that is cut apart go too; a text that the cut leaves
+    without a word goes with its row, one that had none stays. Other columns
+    ride along with the text, so the documents are shuffled once.
+    """
+    riding = [c for c in docs.columns if c != "text"]
+    columns = {f"c{i}": c for i, c in enumerate(riding)}
+    packed = docs.select(F.col("doc_id"), "text", F.struct(*[F.col(c).alias(k) for k, c in columns.items()]).alias("row"))
+    kind = packed.schema["row"].dataType.simpleString()
 
-    return _spanned(docs).mapInArrow(_kept(finish, ["original", "kept"], [pa.string(), pa.string()]), "doc_id long, original string, kept string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, at = [], []
+            bases = batch.column("base").to_pylist()
+            for i, (raw, found) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+                spans = _merged(found, bases[i], len(raw))
+                kept = _cut(raw, spans).decode(errors="ignore")
+                if not spans or kept.split():
+                    out.append(kept)
+                    at.append(i)
+            yield pa.record_batch([batch.column("row").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["row", "kept"])
+
+    spanned = _spanned(packed, ["row"]).mapInArrow(run, f"row {kind}, kept string")
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return spanned.select(*[new[c].alias(c) if c in new else F.col(f"row.c{riding.index(c)}").alias(c) for c in docs.columns])

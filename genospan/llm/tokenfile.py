@@ -57,7 +57,7 @@ class UnitEncoder:
     text are those of its units in turn. ``memory`` bounds the units held.
     """
 
-    def __init__(self, tokenizer_path: str, memory: int = 500_000):
+    def __init__(self, tokenizer_path: str, memory: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -83,7 +83,11 @@ class UnitEncoder:
 
     def _tokens(self, pretokens: list[str]) -> dict[str, bytes]:
         tokenize, spell = self.tokenizer.model.tokenize, self.spell
-        return {p: array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(spell))]).tobytes() for p in pretokens}
+        out = {}
+        for p in pretokens:
+            spelled = p.replace(" ", spell[32]) if p.isascii() else p.encode().decode("latin-1").translate(spell)
+            out[p] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+        return out
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -203,7 +207,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     bounds = [int(b) for b in keys.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)] if n > 1 else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer, end = encoder(tokenizer_path), zstandard.ZstdCompressor(level=3, write_checksum=True), struct.pack("<I", end_id)
+        enc, packer, end = encoder(tokenizer_path), zstandard.ZstdCompressor(level=1, write_checksum=True), struct.pack("<I", end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

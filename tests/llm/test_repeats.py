@@ -73,4 +73,4 @@ def test_shared_ids_nulls_and_empty_tables(spark):
     assert [r.n_removed for r in got if r.doc_id is None] == [0]
     assert [r.n_removed for r in got if r.doc_id == 4] == [130]
     assert repeats.repeat_digests(docs.where("false")).count() == 0
-    assert {r.kept for r in repeats.kept_texts(docs).where("doc_id = 4").collect()} == {"!" * 40}
+    assert {r.text for r in repeats.cut_repeats(docs).where("doc_id = 4").collect()} == {"!" * 40}
