@@ -221,20 +221,20 @@ def learn(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     Texts stay on the executors; the driver gets votes and feature numbers of
     the sampled documents, which the bound holds to a few MB.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     if labels is not None:
         known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        rows = rows.join(known, "doc_id", "left")
+        ids = ids.join(known, "doc_id", "left")
     else:
-        rows = rows.withColumn("toxic", F.lit(None).cast("int"))
-    count = rows.groupBy(F.col("toxic").isNotNull().alias("known")).count().collect()
-    sizes = {r["known"]: r["count"] for r in count}
+        ids = ids.withColumn("toxic", F.lit(None).cast("int"))
+    sizes = {r["known"]: r["count"] for r in ids.groupBy(F.col("toxic").isNotNull().alias("known")).count().collect()}
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
     most = {True: min(1.0, 0.5 * sample / max(sizes.get(True, 0), 1))}
     left = sample - most[True] * sizes.get(True, 0)
     most[False] = min(1.0, left / max(sizes.get(False, 0), 1))
-    rows = rows.where(part < F.when(F.col("toxic").isNotNull(), int(1e6 * most[True])).otherwise(int(1e6 * most[False])))
-
+    ids = ids.where(part < F.when(F.col("toxic").isNotNull(), int(1e6 * most[True])).otherwise(int(1e6 * most[False])))
+    # Ids and labels only are shuffled; the sampled ids, which ``sample`` bounds, go to the texts.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.limit(2 * sample)), "doc_id")
     rows = stash(rows.select("doc_id", "toxic", "text"), "toxicity-sample")
     words = sorted({*WORDS, *grow(rows.where("toxic is not null"))})
     index = {w: i for i, w in enumerate(words)}
