@@ -33,6 +33,8 @@ CURVES = 6
 PROJECTED = 8
 BITS = 4
 BLOCK = 512
+#: Most blocks joined into one task's group, which bounds its memory.
+MOST_BLOCKS = 32
 RECALL = 0.95
 #: Rows that scales are fitted on, and queries that the window is fitted on, at most about.
 FIT_ROWS = 10_000
@@ -178,11 +180,14 @@ def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
     laid = laid.join(numbers, ["curve", "part"]).withColumn("block", F.col("first") + F.col("local"))
     width = _window(laid, entries, k, recall, max(ends.values()))
 
-    reach = F.sequence(F.greatest(F.lit(0), F.col("block") - width), F.least(F.col("blocks") - 1, F.col("block") + width))
+    # Blocks are joined to about half the window, so a query asks a handful of them however wide it is.
+    coarse = max(1, min(MOST_BLOCKS, width // 2))
+    unit = lambda b: F.floor(b / coarse)
+    reach = F.sequence(unit(F.greatest(F.lit(0), F.col("block") - width)), unit(F.least(F.col("blocks") - 1, F.col("block") + width)))
     asking = laid.where("asked").select(F.col("curve").alias("q_curve"), F.explode(reach).alias("q_block"), F.col("e").alias("q"), F.col("v").alias("q_v"))
-    standing = laid.select(F.col("curve").alias("c_curve"), F.col("block").alias("c_block"), F.col("e").alias("c"), F.col("v").alias("c_v"))
-    found = standing.groupBy("c_curve", "c_block").cogroup(asking.groupBy("q_curve", "q_block")).applyInPandas(_rank_block(k + 1), "q long, c long, d double")
-    best = found.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).where(F.col("nth") <= k + 1 + _EXTRA)
+    standing = laid.select(F.col("curve").alias("c_curve"), unit(F.col("block")).alias("c_block"), F.col("e").alias("c"), F.element_at("ids", 1).alias("c_first"), F.col("v").alias("c_v"))
+    found = standing.groupBy("c_curve", "c_block").cogroup(asking.groupBy("q_curve", "q_block")).applyInPandas(_rank_block(k + 1), "q long, c long, first long, d double")
+    best = found.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "first"))).where(F.col("nth") <= k + 1)
     named = best.join(entries.select(F.col("e").alias("c"), F.explode("ids").alias("vec_id")), "c").select("q", "d", "vec_id")
     top = named.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("nth") <= k + 1).select("q", "d", "vec_id")
     queries = vector.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "h", "v")
@@ -193,15 +198,22 @@ def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
 
 
 def _rank_block(k: int):
+    """The k nearest entries of a block for each query that asks it, ties to the smaller first id."""
+
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        empty = np.empty(0, np.int64)
         if candidates.empty or queries.empty:
-            return pd.DataFrame({"q": np.empty(0, np.int64), "c": np.empty(0, np.int64), "d": np.empty(0)})
-        c, ids = np.stack(candidates["c_v"].to_numpy()), candidates["c"].to_numpy()
+            return pd.DataFrame({"q": empty, "c": empty, "first": empty, "d": np.empty(0)})
+        candidates = candidates.sort_values("c_first")
+        c, ids, first = np.stack(candidates["c_v"].to_numpy()), candidates["c"].to_numpy(), candidates["c_first"].to_numpy()
         out = []
         for at in range(0, len(queries), 256):
             part = queries.iloc[at : at + 256]
             place, d = _nearest(np.stack(part["q_v"].to_numpy()), c, k + _EXTRA)
-            out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), place.shape[1]), "c": ids[place.ravel()], "d": d.ravel()}))
+            order = np.lexsort((first[place], d), axis=1)[:, :k]
+            place, d = np.take_along_axis(place, order, 1), np.take_along_axis(d, order, 1)
+            flat = place.ravel()
+            out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), place.shape[1]), "c": ids[flat], "first": first[flat], "d": d.ravel()}))
         return pd.concat(out)
 
     return run
