@@ -29,7 +29,7 @@ def _site() -> list:
     allele = lambda shift: F.element_at(F.array(*map(F.lit, "ACGT")), ((F.col("p_size") + shift) % 4 + 1).cast("int"))
     return [
         F.col("p_partkey").cast("long").alias("vidx"),
-        F.coalesce(label, (run + 1).cast("string")).alias("CHROM"),
+        F.coalesce(label, F.concat(F.lit("c"), run + 1)).alias("CHROM"),
         ((F.col("p_partkey") % _PER_CHROM + 1) * 100).cast("int").alias("POS"),
         F.concat(F.lit("v"), F.col("p_partkey")).alias("ID"),
         allele(0).alias("REF"),
@@ -70,13 +70,13 @@ def dataset(spark: SparkSession, sf_dir: str, dosages: bool = False) -> Genotype
 
     table = sites.join(some, "vidx", "left").mapInArrow(dense, "vidx long, CHROM string, POS int, ID string, REF string, ALT string, gt array<tinyint>")
     if dosages:
-        table = table.withColumn("ds", F.transform("gt", lambda g, i: F.least(F.lit(2.0), g.cast("double") + ((F.col("vidx") + i) % 5) / 16.0)))
+        table = table.withColumn("ds", F.transform("gt", lambda g, i: F.when(g.isNotNull(), F.least(F.lit(2.0), g.cast("double") + ((F.col("vidx") + i) % 5) / 16.0))))
     return Genotypes(table, people, n)
 
 
 _RUN = f"p_partkey // {_PER_CHROM}"
 SQL_PRELUDE = f"""
-WITH variants AS (SELECT p_partkey::BIGINT AS vidx, CASE {_RUN} {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _LABELS.items())} ELSE CAST({_RUN} + 1 AS VARCHAR) END AS CHROM,
+WITH variants AS (SELECT p_partkey::BIGINT AS vidx, CASE {_RUN} {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _LABELS.items())} ELSE 'c' || ({_RUN} + 1) END AS CHROM,
   ((p_partkey % {_PER_CHROM} + 1) * 100)::INTEGER AS POS, 'v' || p_partkey AS ID, substr('ACGT', (p_size % 4 + 1)::INTEGER, 1) AS REF, substr('ACGT', ((p_size + 1) % 4 + 1)::INTEGER, 1) AS ALT FROM part),
 samples AS (SELECT c_custkey::INTEGER AS sidx, c_name AS IID, (c_custkey % 3)::INTEGER AS SEX, c_acctbal FROM customer),
 joined AS (SELECT l_partkey AS vidx, o_custkey AS sidx, count(*) AS n, sum(l_linenumber) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),

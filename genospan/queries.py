@@ -111,10 +111,10 @@ def shape_sample_lists(spark, sf_dir):
     return shape(dataset(spark, sf_dir), "read_pfile", orient="sample").select("IID", text.alias("calls"))
 
 
-@_query(f"SELECT {_SITE}, hr AS hom_ref, he AS het, ha AS hom_alt, mi AS missing FROM cnt JOIN variants USING (vidx) WHERE CHROM = '7' AND POS BETWEEN 500 AND 4000 AND (he + 2 * ha) / (2.0 * (hr + he + ha)) BETWEEN 0.005 AND 0.5 AND he + 2 * ha BETWEEN 3 AND 100000")
+@_query(f"SELECT {_SITE}, hr AS hom_ref, he AS het, ha AS hom_alt, mi AS missing FROM cnt JOIN variants USING (vidx) WHERE CHROM = 'c7' AND POS BETWEEN 500 AND 4000 AND (he + 2 * ha) / (2.0 * (hr + he + ha)) BETWEEN 0.005 AND 0.5 AND he + 2 * ha BETWEEN 3 AND 100000")
 def shape_region_af_ac(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
-    out = shape(dataset(spark, sf_dir), "read_pfile", region="7:500-4000", af_range={"min": 0.005, "max": 0.5}, ac_range={"min": 3, "max": min(100000, 2 * n)}, genotypes="counts")
+    out = shape(dataset(spark, sf_dir), "read_pfile", region="c7:500-4000", af_range={"min": 0.005, "max": 0.5}, ac_range={"min": 3, "max": min(100000, 2 * n)}, genotypes="counts")
     return out.select("CHROM", "POS", "ID", "REF", "ALT", "genotypes.*")
 
 
