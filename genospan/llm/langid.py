@@ -148,6 +148,22 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, s
     return {k: v / np.linalg.norm(v) for k, v in found.items() if np.linalg.norm(v) > 0}
 
 
+def _judge(prototypes: dict[str, np.ndarray], dimensions: int, seed: int):
+    """A function from texts to their languages and scores."""
+    langs = sorted(prototypes)
+    matrix = np.stack([prototypes[k] for k in langs]).T if langs else np.zeros((dimensions, 0))
+
+    def judge(texts: list[str]) -> tuple[list[str], np.ndarray]:
+        vectors = profiler(dimensions, seed).bundle(texts)
+        some = (vectors != 0).any(axis=1) & bool(langs)
+        cosine = np.round(_unit(vectors) @ matrix, 9) if langs else np.zeros((len(texts), 1))
+        best = cosine.argmax(axis=1)
+        score = np.where(some, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
+        return [langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], score
+
+    return judge
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """(doc_id, lang_pred, score): the language of largest cosine and that cosine, held to 0..1.
 
@@ -155,19 +171,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     get ``und`` and 0. Ties go to the language first by code point. Only
     doc_id and text are read.
     """
-    langs = sorted(prototypes)
-    matrix = np.stack([prototypes[k] for k in langs]).T if langs else np.zeros((dimensions, 0))
+    judge = _judge(prototypes, dimensions, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = profiler(dimensions, seed)
         for batch in batches:
             for part in _blocks(batch):
-                vectors = p.bundle([t or "" for t in part.column("text").to_pylist()])
-                some = (vectors != 0).any(axis=1) & bool(langs)
-                cosine = np.round(_unit(vectors) @ matrix, 9) if langs else np.zeros((part.num_rows, 1))
-                best = cosine.argmax(axis=1)
-                score = np.where(some, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
-                names = [langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
+                names, score = judge([t or "" for t in part.column("text").to_pylist()])
                 yield pa.record_batch([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -180,7 +189,17 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.05, sample: int = SAMPLE) -> DataFrame:
-    """Documents whose language is identified: those without a letter, or below a cosine of ``least``, go."""
-    found = predict(docs, learn(docs.where(learn_fold()), sample))
-    bad = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Documents whose language is identified: those without a letter, or below a cosine of ``least``, go.
+
+    Rows pass through whole, so nothing is shuffled.
+    """
+    prototypes = learn(docs.where(learn_fold()), sample)
+    judge = _judge(prototypes, DIMENSIONS, SEED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _blocks(batch):
+                names, score = judge([t or "" for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
