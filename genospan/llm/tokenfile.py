@@ -46,6 +46,8 @@ _BLANKS = ("  ", " \n", " \t", " \v", " \f", " \r")
 #: Units whose pretokens these classes give; others go through the library's own pretokeniser.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(f"[!-~¡-©«¬®¯°±´¶·¸»¿×÷{_LETTER}]{{1,64}}")
+_LETTERS = re.compile(f"[{_LETTER}]{{1,64}}")
+_INNER = 200_000
 _PRETOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s0-9{_LETTER}]+")
 
 
@@ -57,13 +59,14 @@ class UnitEncoder:
     text are those of its units in turn. ``memory`` bounds the units held.
     """
 
-    def __init__(self, tokenizer_path: str, memory: int = 1_000_000):
+    def __init__(self, tokenizer_path: str, memory: int = 1_400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known = Recall(memory)
-        self.pretokens = Recall(memory // 2)
+        #: Pretokens that follow another inside a unit.
+        self.inner: dict[str, bytes] = {}
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         hidden = iter(range(256, 512))
@@ -71,23 +74,40 @@ class UnitEncoder:
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         """Ids of new units (without their blank): pretokens through the model, odd units through the whole tokenizer."""
-        plain, odd = [], []
-        for u in units:
-            (plain if _PLAIN.fullmatch(u) else odd).append(u)
-        split = [_PRETOKENS.findall(f" {u}") for u in plain]
-        ids = self.pretokens.holding(split, self._tokens)
-        out = {u: b"".join(map(ids.__getitem__, s)) for u, s in zip(plain, split, strict=True)}
+        tokenize, blank, young, old, inner = self.tokenizer.model.tokenize, self.spell[32], self.known.young, self.known.old, self.inner
+        if len(inner) > _INNER:
+            inner.clear()
+        out: dict[str, bytes] = {}
+        odd = []
+
+        def word(u: str) -> bytes:
+            spelled = blank + u if u.isascii() else self._spelled(f" {u}")
+            return array("I", [t.id for t in tokenize(spelled)]).tobytes()
+
+        for unit in units:
+            if _LETTERS.fullmatch(unit):
+                if unit not in out:
+                    out[unit] = word(unit)
+            elif _PLAIN.fullmatch(unit):
+                first, *rest = _PRETOKENS.findall(f" {unit}")
+                key = first[1:]
+                ids = out.get(key) or young.get(key) or old.get(key)
+                if ids is None:
+                    ids = out[key] = word(key)
+                for r in rest:
+                    got = inner.get(r)
+                    if got is None:
+                        got = inner[r] = array("I", [t.id for t in tokenize(self._spelled(r))]).tobytes()
+                    ids += got
+                out[unit] = ids
+            else:
+                odd.append(unit)
         if odd:
             out.update(zip(odd, self._plain([f" {u}" for u in odd]), strict=True))
         return out
 
-    def _tokens(self, pretokens: list[str]) -> dict[str, bytes]:
-        tokenize, spell = self.tokenizer.model.tokenize, self.spell
-        out = {}
-        for p in pretokens:
-            spelled = p.replace(" ", spell[32]) if p.isascii() else p.encode().decode("latin-1").translate(spell)
-            out[p] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
-        return out
+    def _spelled(self, pretoken: str) -> str:
+        return pretoken.encode().decode("latin-1").translate(self.spell)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
