@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,9 +47,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files nothing refers to any more; its cleaner follows the driver's garbage collector."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm
