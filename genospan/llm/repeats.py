@@ -201,12 +201,15 @@ def _name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         if not batch.num_rows:
             continue
-        data, starts, _, ids = _texts(batch)
+        data, starts, ends, ids = _texts(batch)
         base = batch.column("base").to_numpy(zero_copy_only=False)
         runs = batch.column("runs")
         owner = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
         flat = runs.flatten()
         every = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        # Runs of another text with this doc_id came along.
+        own = (every[1] >= base[owner]) & (every[1] < base[owner] + (ends - starts)[owner])
+        owner, every = owner[own], [x[own] for x in every]
         for at in range(0, len(owner), 20_000):
             doc = owner[at : at + 20_000]
             gram, lo, n = (x[at : at + 20_000] for x in every)
@@ -314,7 +317,8 @@ def _spanned(docs: DataFrame, riding: list[str] | None = None) -> DataFrame:
     refined = stash(sorted_.mapInArrow(_refine, _ROW), "repeats-refined")
     home = texts.repartition(n, "doc")  # the same exchange serves both joins below
     runs = refined.where("n > 0").groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "n")).alias("runs"))
-    named = home.join(runs.hint("shuffle_hash"), "doc").select("doc", "base", "text", "runs").mapInArrow(_name_windows, _ROW)
+    whole = home if once is texts else once.repartition(n, "doc")
+    named = whole.join(runs.hint("shuffle_hash"), "doc").select("doc", "base", "text", "runs").mapInArrow(_name_windows, _ROW)
     windows = named.repartition(n, "a").sortWithinPartitions("a", "b", "doc", "lo").mapInArrow(_repeated_windows, "doc long, lo int, bytes int")
     known = refined.where("n < 0").select("doc", "lo", (-F.col("n")).alias("bytes"))
     spans = known.union(windows).groupBy("doc").agg(F.collect_list(F.struct("lo", "bytes")).alias("spans"))

@@ -74,3 +74,12 @@ def test_shared_ids_nulls_and_empty_tables(spark):
     assert [r.n_removed for r in got if r.doc_id == 4] == [130]
     assert repeats.repeat_digests(docs.where("false")).count() == 0
     assert {r.text for r in repeats.cut_repeats(docs).where("doc_id = 4").collect()} == {"!" * 40}
+
+
+def test_rows_that_repeat_a_text_are_cut_alike(spark):
+    base = "".join(random.Random(9).choices("abcdefgh ", k=500))
+    near = base[:250] + "#" + base[250:]
+    rows = [(1, base, "a"), (2, near, "b"), (2, near, "c"), (2, "short", "d"), (3, near[:300], "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.lang): r.text for r in repeats.cut_repeats(docs).collect()}
+    assert got == {(1, "a"): base, (2, "b"): "#", (2, "c"): "#", (2, "d"): "short"}
