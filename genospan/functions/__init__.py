@@ -1 +1 @@
-"""See the package docstring."""
+"""Parameter parsing, count expressions and numerics."""

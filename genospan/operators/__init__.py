@@ -1 +1 @@
-"""See the package docstring."""
+"""Shapes, statistics and models over genotype datasets."""

@@ -38,7 +38,7 @@ def read_fileset(spark: SparkSession, paths, pgen: str | None = None, pvar=None,
 
 def read_vcf(spark: SparkSession, path: str, genotypes: str = "auto", phased: bool = False, region: str | None = None, min_gq: int | None = None, min_dp: int | None = None, max_dp: int | None = None, halfcall: str = "missing") -> DataFrame:
     """chrom, pos, id, ref, alt and genotypes (array, list or columns) of a VCF file."""
-    fn = "read_plink_vcf"
+    fn = "read_vcf"
     if genotypes in ("struct", "counts", "stats"):
         raise ValueError(f"{fn}: genotypes := '{genotypes}' is not supported")
     data = vcf(spark, path, region, min_gq, min_dp, max_dp, halfcall, fn)

@@ -48,7 +48,7 @@ def freq_sex_aware_counts(spark, sf_dir):
 
 
 @_query(f"""
-, d AS (SELECT vidx, sum(least(2.0, g + ((vidx + sidx) % 5) / 16.0)) AS s, count(g) AS n FROM calls GROUP BY vidx)
+, d AS (SELECT vidx, sum(CASE WHEN g IS NOT NULL THEN least(2.0, g + ((vidx + sidx) % 5) / 16.0) END) AS s, count(g) AS n FROM calls GROUP BY vidx)
 SELECT {_SITE}, round(s / (2.0 * n), 6)::DOUBLE AS ALT_FREQ, (2 * n)::INTEGER AS OBS_CT FROM d JOIN variants USING (vidx) WHERE CHROM NOT IN ('X', 'Y', 'MT')""")
 def freq_dosage(spark, sf_dir):
     return _round(freq(dataset(spark, sf_dir, dosages=True), dosage=True).where("CHROM not in ('X', 'Y', 'MT')").drop("IMP_R2"), "ALT_FREQ")

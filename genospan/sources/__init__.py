@@ -1 +1 @@
-"""See the package docstring."""
+"""Readers of variant tables, sample tables and genotype matrices."""
