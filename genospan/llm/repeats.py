@@ -318,7 +318,8 @@ def _spanned(docs: DataFrame, riding: list[str] | None = None) -> DataFrame:
     home = texts.repartition(n, "doc")  # the same exchange serves both joins below
     runs = refined.where("n > 0").groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "n")).alias("runs"))
     whole = home if once is texts else once.repartition(n, "doc")
-    named = whole.join(runs.hint("shuffle_hash"), "doc").select("doc", "base", "text", "runs").mapInArrow(_name_windows, _ROW)
+    # All columns go along: with the same columns on both sides Spark reuses the exchange of the texts.
+    named = whole.join(runs.hint("shuffle_hash"), "doc").mapInArrow(_name_windows, _ROW)
     windows = named.repartition(n, "a").sortWithinPartitions("a", "b", "doc", "lo").mapInArrow(_repeated_windows, "doc long, lo int, bytes int")
     known = refined.where("n < 0").select("doc", "lo", (-F.col("n")).alias("bytes"))
     spans = known.union(windows).groupBy("doc").agg(F.collect_list(F.struct("lo", "bytes")).alias("spans"))
