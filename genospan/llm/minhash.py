@@ -1,7 +1,8 @@
 """Document fingerprints by MinHash, banded near-duplicate search, and the fingerprint of an edited text.
 
 A signature holds, for each of several universal hash functions over 64-bit
-shingle hashes, the top bits of the smallest value; equal places estimate the
+shingle hashes, 16 bits of the smallest value, mixed first: the smallest of
+many values is small, so its own top bits say little. Equal places estimate the
 Jaccard similarity of two shingle sets. Bands of a signature are joined in
 Spark, and pairs that meet are verified on the shingle sets themselves.
 """
@@ -48,13 +49,22 @@ def shingles(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, places: int = PLACES, seed: int = SEED) -> np.ndarray:
-    """16 bits a place: the top of min over shingles of (a*x+b) mod 2^64; an empty set gives all ones."""
+    """16 bits a place: of the mixed min over shingles of (a*x+b) mod 2^64; an empty set gives all ones."""
+    if not len(hashes):
+        return np.full(places, 0xFFFF, dtype=">u2")
     a, b = _universal(places, seed)
     least = np.full(places, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(hashes), _CHUNK):
         x = hashes[at : at + _CHUNK]
         np.minimum(least, (a[:, None] * x[None, :] + b[:, None]).min(axis=1), out=least)
-    return (least >> np.uint64(48)).astype(">u2")
+    return (_mixed(least) >> np.uint64(48)).astype(">u2")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit values after which every bit depends on all bits."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> float:

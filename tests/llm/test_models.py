@@ -130,3 +130,13 @@ def test_near_classes_match_brute_force(spark):
     for r in minhash.near_classes(docs).collect():
         assert r.class_id == want[find(500 - r.doc_id)]
     assert minhash.near_classes(docs.where("false")).count() == 0
+
+
+def test_long_texts_keep_apart():
+    rng = np.random.default_rng(8)
+    one, other = (b" ".join(b"%d" % i for i in rng.integers(0, 1 << 30, 200_000)) for _ in range(2))
+    a, b = (minhash.signature(minhash.shingles(x)) for x in (one, other))
+    assert minhash.likeness(a, b) < 0.03
+    half = minhash.signature(minhash.shingles(one + b" " + other))
+    assert abs(minhash.likeness(a, half) - 0.5) < 0.15
+    assert (minhash.signature(minhash.shingles(b"")) == 0xFFFF).all()
