@@ -57,13 +57,17 @@ class UnitEncoder:
     A byte-level pretokeniser starts a pretoken at every blank that precedes
     a visible character, and merges never cross pretokens, so the ids of a
     text are those of its units in turn. ``memory`` bounds the units held.
+    With ``added``, the vocabulary's added tokens are matched in texts as the
+    library does by itself; without, their strings are ordinary text.
     """
 
-    def __init__(self, tokenizer_path: str, memory: int = 1_400_000):
+    def __init__(self, tokenizer_path: str, memory: int = 1_400_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        #: Texts with one of these go through the library whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.known = Recall(memory)
         #: Pretokens that follow another inside a unit.
         self.inner: dict[str, bytes] = {}
@@ -114,6 +118,15 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
+        whole = [i for i, text in enumerate(texts) if any(x in text for x in self.added)]
+        if whole:
+            out = dict(zip(whole, self._plain([texts[i] for i in whole]), strict=True))
+            others = [i for i in range(len(texts)) if i not in out]
+            out.update(zip(others, self._by_units([texts[i] for i in others]), strict=True))
+            return [out[i] for i in range(len(texts))]
+        return self._by_units(texts)
+
+    def _by_units(self, texts: list[str]) -> list[bytes]:
         split = []
         for text in texts:
             if _RARE.search(text) or any(x in text for x in _BLANKS):
@@ -133,7 +146,7 @@ _ENCODERS: dict[str, UnitEncoder] = {}
 def encoder(path: str) -> UnitEncoder:
     """One encoder a worker process and path."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
+        _ENCODERS[path] = UnitEncoder(path, added=True)
     return _ENCODERS[path]
 
 

@@ -163,3 +163,15 @@ def test_piece_digests(spark, spm):
         assert r.decoded_sha256 == hashlib.sha256(spm[0].decode(ids).encode()).hexdigest()
         assert r.n_source_bytes == len(text.encode())
     assert pieces.encode_documents(docs.where("false"), SPM).count() == 0
+
+
+def test_added_tokens_are_the_librarys(spark):
+    library = Tokenizer.from_file(BPE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y <|endoftext", "plain words", "", "é <|endoftext|>\n z"]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = 0
+    for r, t in zip(tokenfile.token_digests(docs, BPE).orderBy("doc_id").collect(), texts, strict=True):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
