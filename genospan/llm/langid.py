@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import held_out, learn_fold
 
 DIMENSIONS = 512
-#: Most documents that prototypes are learned from, chosen by a seeded hash of doc_id.
-SAMPLE = 20_000
 SYMBOLS = 128
 SEED = 42
 UNKNOWN = "und"
@@ -120,16 +118,13 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Unit prototype of every language of ``docs`` (text, lang), from at most about ``sample`` documents.
+def learn(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
+    """Unit prototype of every language of ``docs`` (text, lang), from all of its documents.
 
     Sums are of rounded integers, so their order doesn't matter. What comes to
     the driver is one vector a language.
     """
     known = docs.where("lang is not null and text is not null")
-    total = known.count()
-    if total > sample:
-        known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1_000_000)) < int(1e6 * sample / total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, sums = profiler(dimensions, seed), {}
@@ -182,18 +177,18 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) with prototypes from the learning fold of ``docs`` itself."""
-    found = predict(docs, learn(docs.where(learn_fold()), sample))
+    found = predict(docs, learn(docs.where(learn_fold())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.05, sample: int = SAMPLE) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.05) -> DataFrame:
     """Documents whose language is identified: those without a letter, or below a cosine of ``least``, go.
 
     Rows pass through whole, so nothing is shuffled.
     """
-    prototypes = learn(docs.where(learn_fold()), sample)
+    prototypes = learn(docs.where(learn_fold()))
     judge = _judge(prototypes, DIMENSIONS, SEED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

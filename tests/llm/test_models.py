@@ -140,3 +140,11 @@ def test_long_texts_keep_apart():
     half = minhash.signature(minhash.shingles(one + b" " + other))
     assert abs(minhash.likeness(a, half) - 0.5) < 0.15
     assert (minhash.signature(minhash.shingles(b"")) == 0xFFFF).all()
+
+
+def test_languages_of_one_document_are_learned_from_a_large_table(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(80_000).select(F.col("id").alias("doc_id"), F.lit("the and other").alias("text"), F.lit("xx").alias("lang"))
+    few = spark.createDataFrame([(100_000 + i, "der und über", f"q{i}") for i in range(12)], "doc_id long, text string, lang string")
+    assert set(langid.learn(many.union(few))) == {"xx", *(f"q{i}" for i in range(12))}
