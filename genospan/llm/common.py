@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +95,17 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def keep_once(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``kept``; of rows that repeat one, that whose text hashes lowest."""
+    kept = kept.select(F.col("doc_id").alias("_keep")).distinct()
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if repeated:
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+        left = left.withColumn("_nth_", first).where("_nth_ = 1").drop("_nth_")
+    return left
+
+
 def components_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Connected components of the links a-b: (nodes, smallest node of each node's component)."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, stash, texts_of
+from .common import keep_once, parallelism, stash, texts_of
 from .graph import connected_components
 
 WORDS = 5
@@ -171,36 +171,61 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS, places: int = PLACE
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, places: int = PLACES, bands: int = BANDS, like: float = LIKE, seed: int = SEED) -> DataFrame:
-    """(doc_id, class_id): documents whose shingle sets are linked by Jaccard of ``like`` or more; smallest doc_id of the class.
+    """(doc_id, class_id): documents whose shingle sets are linked by Jaccard of ``like`` or more; smallest doc_id of the class."""
+    rooted = _rooted(docs, words, places, bands, like, seed)
+    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "class_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = WORDS, places: int = PLACES, bands: int = BANDS, like: float = LIKE, seed: int = SEED) -> DataFrame:
+    """Documents with one of each class of ``near_classes``: the one whose doc_id is smallest.
+
+    Rows that repeat the kept doc_id stay once, the one whose text hashes lowest.
+    """
+    kept = _rooted(docs, words, places, bands, like, seed).groupBy("root").agg(F.min("doc_id").alias("doc_id"))
+    return keep_once(docs, kept.select("doc_id"))
+
+
+def _rooted(docs: DataFrame, words: int, places: int, bands: int, like: float, seed: int) -> DataFrame:
+    """(doc_id, root) of every row: one root a class.
 
     Texts with equal shingle sets are one node. Nodes that share a band are
-    candidates, verified exactly on their shingle sets. First each bucket's
-    members are verified against its smallest node, twice; then only pairs of
-    a bucket that are not yet in one component are verified, so that a large
-    group of near copies costs about one pair a member and no link that joins
-    two components is missed. Texts without a word are one class.
+    candidates, verified exactly on their shingle sets, which only texts that
+    share a band have made for them. First each bucket's members are verified
+    against its smallest node, twice; then only pairs of a bucket that are not
+    yet in one component are verified, so that a large group of near copies
+    costs about one pair a member and no link that joins two components is
+    missed. Texts without a word are one class.
     """
     rows = places // bands
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def node_of(own: np.ndarray) -> int:
+        return int(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), np.int64)[0])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingles(t, words, seed)) for t in texts_of(batch.column("text"))]
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id"),
-                    pa.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), np.int64)[0] for s in sets], pa.int64()),
-                    pa.array([signature(s, places, seed).tobytes() for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                names=["doc_id", "node", "sig", "own"],
-            )
-
-    signed = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, node long, sig binary, own binary"), "minhash-signed")
-    nodes = stash(signed.select("node", "sig", "own").dropDuplicates(["node"]), "minhash-nodes")
+            nodes, signs = [], []
+            for at in range(0, batch.num_rows, 512):
+                for text in texts_of(batch.column("text").slice(at, 512)):
+                    own = np.unique(shingles(text, words, seed))
+                    nodes.append(node_of(own))
+                    signs.append(signature(own, places, seed).tobytes())
+            yield pa.record_batch([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "node", "sig"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                sets = [np.unique(shingles(t, words, seed)) for t in texts_of(batch.column("text").slice(at, 512))]
+                yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "own"])
+
+    signed = stash(keyed.mapInArrow(sign, "doc_id long, node long, sig binary"), "minhash-signed")
     width = 2 * rows
     cut = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(bands)])
-    banded = nodes.select("node", F.explode(cut).alias("band")).distinct()
+    banded = signed.dropDuplicates(["node"]).select("node", F.explode(cut).alias("band")).distinct()
     open_ = stash(banded.join(banded.groupBy("band").count().where("count > 1").select("band"), "band"), "minhash-bands")
+    ids = signed.select("doc_id", "node").join(open_.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("_met"))
+    met = keyed.join(ids.select("_met").distinct(), keyed["doc_id"].eqNullSafe(F.col("_met")), "left_semi").select("text")
+    nodes = stash(met.mapInArrow(gather, "node long, own binary").dropDuplicates(["node"]), "minhash-nodes")
     left = nodes.select(F.col("node").alias("x"), F.col("own").alias("a"))
     right = nodes.select(F.col("node").alias("y"), F.col("own").alias("b"))
 
@@ -222,16 +247,15 @@ def near_classes(docs: DataFrame, words: int = WORDS, places: int = PLACES, band
     across = mixed.withColumnRenamed("node", "x").join(other, "band").where("root < root_y").select("x", "y")
     links = links.union(verified(across)).where("good").select("x", "y")
     roots = connected_components(links, "minhash")
-    rooted = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "class_id")
+    return signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
 
 
 def _verify(like: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= like * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column("x"), batch.column("y"), pa.array(good, pa.bool_())], names=["x", "y", "good"])

@@ -24,10 +24,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components_of, parallelism, stash, texts_of
+from .common import components_of, keep_once, parallelism, stash, texts_of
 from .graph import connected_components
 
 #: (first bit, bits) of the blocks that are masked in turn.
@@ -211,10 +211,4 @@ def drop_near_copies(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFra
 
     Rows that repeat the kept doc_id stay once, the one whose text hashes lowest.
     """
-    kept = simhash_components(docs, words, seed).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        left = left.withColumn("_nth_", first).where("_nth_ = 1").drop("_nth_")
-    return left
+    return keep_once(docs, simhash_components(docs, words, seed).where("doc_id <=> component_id").select("doc_id"))

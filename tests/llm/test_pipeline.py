@@ -72,3 +72,29 @@ def test_run_on_a_folder(spark, tmp_path):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_dedup_takes_five_words_and_jaccard(spark):
+    from genospan.llm import minhash
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    rows = []
+    for g in range(20):
+        base = rng.choices(words, k=300)
+        rows.append(" ".join(base))
+        for n in (1, 4, 6, 9):  # Jaccard of about 0.97, 0.87, 0.82, 0.74
+            w = list(base)
+            for at in rng.sample(range(10, 290), n):
+                w[at] = "edit"
+            rows.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    sets = [set(minhash.shingles(t.encode()).tolist()) for t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i - i % 5, i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root))
