@@ -32,6 +32,8 @@ from .common import held_out, learn_fold, stash
 SAMPLE = 20_000
 #: Most words that the lexicon grows by.
 GROWN = 300
+#: Least odds of toxic of a word that the lexicon grows by, relative to those of all rows.
+LIFT = 3
 SEED = 42
 THRESHOLD = 0.7
 
@@ -95,8 +97,10 @@ def votes(text: str, words: list[str], index: dict[str, int]) -> np.ndarray:
 def grow(labelled: DataFrame, most: int = GROWN) -> list[str]:
     """Words tied to the label among ``labelled`` (toxic, text): likelier in toxic rows than chance explains.
 
-    Words are counted per document on the executors, partial counts first;
-    only words that pass come to the driver.
+    A word must have ``LIFT`` times the odds of toxic that all rows have, which
+    it can at any rate of toxic rows. Words are counted per document on the
+    executors, partial counts first, and tested there, every one of them; only
+    the most significant come to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,19 +120,34 @@ def grow(labelled: DataFrame, most: int = GROWN) -> list[str]:
     base = sizes[1] / total
     counted = labelled.select("toxic", "text").mapInArrow(run, "word string, clean long, toxic long")
     counted = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= 4)
+    counted = stash(counted, "toxicity-counted")
     tested = max(1, counted.count())
-    rich = counted.where(F.col("toxic") > 3 * base * (F.col("toxic") + F.col("clean"))).orderBy((F.col("toxic") / (F.col("clean") + 1)).desc(), "word").limit(20 * most)
-    tied = []
-    rows = rich.collect()
-    whole = {(w[:k], r.toxic, r.clean) for r in rows for w in [r.word] if not w.endswith("*") for k in BEGINNINGS}
-    for r in rows:
-        if r.word.endswith("*") and (r.word[:-1], r.toxic, r.clean) in whole:
-            continue  # the beginning of one word only
-        n = r.toxic + r.clean
-        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(base) + (n - k) * math.log(1 - base)) for k in range(r.toxic, n + 1))
-        if tail * tested < 0.05:
-            tied.append((tail, r.word))
-    return sorted(w for _, w in sorted(tied)[:most])
+    rich = counted.where(F.col("toxic") * (total - sizes[1]) > LIFT * F.col("clean") * sizes[1])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tails = [_log_tail(k, k + c, base) for k, c in zip(batch.column("toxic").to_pylist(), batch.column("clean").to_pylist(), strict=True)]
+            yield pa.record_batch([*batch.columns, pa.array(tails, pa.float64())], names=["word", "clean", "toxic", "tail"])
+
+    tied = rich.select("word", "clean", "toxic").mapInArrow(test, "word string, clean long, toxic long, tail double")
+    tied = stash(tied.where(F.col("tail") < math.log(0.05 / tested)), "toxicity-tied")
+    # A beginning that is the beginning of one word only goes.
+    starts = F.explode(F.array(*[F.concat(F.substring("word", 1, k), F.lit("*")) for k in BEGINNINGS]))
+    whole = tied.where(~F.col("word").endswith("*")).select(starts.alias("word"), "toxic", "clean").distinct()
+    best = tied.join(whole, ["word", "toxic", "clean"], "left_anti").orderBy("tail", "word").limit(most)
+    return sorted(r["word"] for r in best.select("word").collect())
+
+
+def _log_tail(k: int, n: int, p: float) -> float:
+    """Logarithm of the chance of ``k`` or more of ``n`` at rate ``p``, where ``k`` is above the mean."""
+    term = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)
+    total = ratio = 1.0
+    for i in range(k, n):
+        ratio *= (n - i) / (i + 1) * p / (1 - p)
+        total += ratio
+        if ratio < 1e-17 * total:
+            break
+    return term + math.log(total)
 
 
 class LabelModel:

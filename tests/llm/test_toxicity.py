@@ -51,3 +51,15 @@ def test_held_out_rows(spark):
     assert toxicity.detect(docs.where("false"), labels).count() == 0
     alone = {r.doc_id: r.score for r in toxicity.detect(docs, labels.where("false")).collect()}
     assert alone[5002] > alone[5001]
+
+
+def test_lexicon_grows_at_any_rate_and_by_significance(spark):
+    def grown(toxic, clean, bad, rare, most):
+        rows = [(1, f"plain {'frequent' if i < bad[0] else ''} {f'z{chr(97 + i // 4)}' if i < 4 * rare else ''}") for i in range(toxic)]
+        rows += [(0, f"plain {'frequent' if i < bad[1] else ''}") for i in range(clean)]
+        return toxicity.grow(spark.createDataFrame(rows, "toxic int, text string"), most)
+
+    for toxic, clean in ((200, 300), (300, 200), (420, 80)):
+        assert "frequent" in grown(toxic, clean, (90, 2), 0, 300)
+    assert grown(200, 1800, (60, 20), 25, 1) == ["frequent"]
+    assert grown(250, 250, (60, 60), 0, 300) == []
