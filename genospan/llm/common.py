@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +20,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths this session has made below the shared folder and not deleted yet, by application.
+_MADE: dict[str, set[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session (tests) gets a temporary one; on a
+    cluster there is no safe default, so that is an error.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    made = spark.sparkContext.getCheckpointDir()
-    if not made:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='genospan-')}")
-        made = spark.sparkContext.getCheckpointDir()
-    return made.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='genospan-')}")
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``purge`` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def purge(spark: SparkSession) -> int:
+    """Delete what this session's operators left in the shared folder, once their results are written; the number of paths."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -42,19 +59,28 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
     Unlike ``checkpoint()`` this computes the plan a single time and keeps
     column pruning on the way back; unlike ``localCheckpoint`` it survives a
-    lost executor.
+    lost executor. The write's own shuffle files go as soon as it is done.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    _release(spark)
+    with shuffles_end(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files nothing refers to any more; its cleaner follows the driver's garbage collector."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries run within let go of their shuffle files when they end, not whenever the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -62,6 +88,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def drop_stash(df: DataFrame) -> None:
@@ -95,6 +122,16 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def hash_bound(fraction: float) -> int:
+    """Signed 64-bit bound below which that fraction of all hashes lie, however small it is."""
+    return min((1 << 63) - 1, -(1 << 63) + round(max(0.0, fraction) * 2.0**64))
+
+
+def sampled(fraction: float, seed: int, *key: str) -> Column:
+    """True for a fixed pseudo-random share of keys; all of them from 1 on."""
+    return F.lit(True) if fraction >= 1 else F.xxhash64(*key, F.lit(seed)) < F.lit(hash_bound(fraction))
+
+
 def keep_once(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``kept``; of rows that repeat one, that whose text hashes lowest."""
     kept = kept.select(F.col("doc_id").alias("_keep")).distinct()

@@ -322,7 +322,8 @@ def _spanned(docs: DataFrame, riding: list[str] | None = None) -> DataFrame:
     named = whole.join(runs.hint("shuffle_hash"), "doc").mapInArrow(_name_windows, _ROW)
     windows = named.repartition(n, "a").sortWithinPartitions("a", "b", "doc", "lo").mapInArrow(_repeated_windows, "doc long, lo int, bytes int")
     known = refined.where("n < 0").select("doc", "lo", (-F.col("n")).alias("bytes"))
-    spans = known.union(windows).groupBy("doc").agg(F.collect_list(F.struct("lo", "bytes")).alias("spans"))
+    # Written, so that the windows' shuffle is gone before the texts move again.
+    spans = stash(known.union(windows).groupBy("doc").agg(F.collect_list(F.struct("lo", "bytes")).alias("spans")), "repeats-spans")
     return home.join(spans.hint("shuffle_hash"), "doc", "left")
 
 
