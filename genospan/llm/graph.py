@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from .common import drop_stash, stash
 
 
-def connected_components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node that has a link; root is the component's smallest node.
 
     ``links`` has two columns of one orderable type. Each step is one
     aggregate (min neighbour, combined map-side) and one join, so a node with
     very many links is never gathered in one row, and every step is written
-    to the shared folder. Self links and repeated links are harmless; an empty
-    table gives an empty result.
+    to the shared folder. Steps are taken until nothing changes. Self links and
+    repeated links are harmless; an empty table gives an empty result.
     """
     a, b = links.columns
     edges = stash(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), f"{name}-links"
     )
     before = None
-    for _ in range(rounds):
+    while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
