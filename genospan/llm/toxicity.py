@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learn_fold, stash
+from .common import held_out, learn_fold, sampled, stash
 
 #: Most documents that the models are fitted on, chosen by a seeded hash of doc_id.
 SAMPLE = 20_000
@@ -247,13 +247,14 @@ def learn(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     else:
         ids = ids.withColumn("toxic", F.lit(None).cast("int"))
     sizes = {r["known"]: r["count"] for r in ids.groupBy(F.col("toxic").isNotNull().alias("known")).count().collect()}
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
     most = {True: min(1.0, 0.5 * sample / max(sizes.get(True, 0), 1))}
     left = sample - most[True] * sizes.get(True, 0)
     most[False] = min(1.0, left / max(sizes.get(False, 0), 1))
-    ids = ids.where(part < F.when(F.col("toxic").isNotNull(), int(1e6 * most[True])).otherwise(int(1e6 * most[False])))
+    ids = ids.where(F.when(F.col("toxic").isNotNull(), sampled(most[True], seed, "doc_id")).otherwise(sampled(most[False], seed, "doc_id")))
     # Ids and labels only are shuffled; the sampled ids, which ``sample`` bounds, go to the texts.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.limit(2 * sample)), "doc_id")
+    # Of rows that share an id one is learned from, so that the bound holds whatever repeats.
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = stash(rows.select("doc_id", "toxic", "text"), "toxicity-sample")
     words = sorted({*WORDS, *grow(rows.where("toxic is not null"))})
     index = {w: i for i, w in enumerate(words)}
