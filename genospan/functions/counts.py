@@ -21,17 +21,10 @@ def subset(array: Column, places: list[int] | None) -> Column:
     return array if places is None else F.transform(constant_array(places, "int"), lambda i: F.get(array, i))
 
 
-def count_of(gt: Column, value: int) -> Column:
-    return F.size(F.filter(gt, lambda g: g == value))
-
-
-def counts_struct(gt: Column) -> Column:
-    return F.struct(
-        count_of(gt, 0).cast("long").alias("hom_ref"),
-        count_of(gt, 1).cast("long").alias("het"),
-        count_of(gt, 2).cast("long").alias("hom_alt"),
-        F.size(F.filter(gt, lambda g: g.isNull())).cast("long").alias("missing"),
-    )
+def counts_of(group: str, size: int) -> Column:
+    """The category counts of a counted group of ``size`` samples as one struct."""
+    het, alt, miss = (F.col(f"{group}_{k}") for k in ("het", "alt", "miss"))
+    return F.struct((F.lit(size) - het - alt - miss).cast("long").alias("hom_ref"), het.alias("het"), alt.alias("hom_alt"), miss.alias("missing"))
 
 
 def stats_struct(c: Column) -> Column:
@@ -73,19 +66,13 @@ def ploidy_class(build: str, fn: str) -> Column:
     )
 
 
-def by_sex(gt: Column, sexes: list[int], sex: int) -> Column:
-    """Calls of the samples of one sex, file order."""
-    return subset(gt, [i for i, s in enumerate(sexes) if s == sex])
-
-
-def sex_aware(gt: Column, cls: Column, sexes: list[int], has_sex: bool) -> dict[str, Column]:
-    """het, hom_ref, hom_alt, missing, alleles observed and ALT alleles under the ploidy of ``cls``.
+def sex_aware(cls: Column, sizes: dict[str, int], has_sex: bool) -> dict[str, Column]:
+    """hom_ref, het, hom_alt, missing, alleles observed and ALT alleles under the ploidy of ``cls``, of the groups all, m and f.
 
     Y counts males, MT everyone, both haploid; X females diploid and males
     haploid; a haploid het and a call of unknown sex are missing.
     """
-    c, m, f = counts_struct(gt), counts_struct(by_sex(gt, sexes, 1)), counts_struct(by_sex(gt, sexes, 2))
-    n = F.size(gt)
+    c, m, f = (counts_of(g, sizes[g]) for g in ("all", "m", "f"))
 
     def pick(auto: Column, x: Column, y: Column, mt: Column) -> Column:
         return F.when(cls == "auto", auto).when(cls == "mt", mt).when(F.lit(not has_sex), None).when(cls == "x", x).otherwise(y)
@@ -95,4 +82,4 @@ def sex_aware(gt: Column, cls: Column, sexes: list[int], has_sex: bool) -> dict[
     alt = pick(c.hom_alt, f.hom_alt + m.hom_alt, m.hom_alt, c.hom_alt)
     observed = pick(2 * (c.hom_ref + c.het + c.hom_alt), 2 * (f.hom_ref + f.het + f.hom_alt) + m.hom_ref + m.hom_alt, m.hom_ref + m.hom_alt, c.hom_ref + c.hom_alt)
     alleles = pick(c.het + 2 * c.hom_alt, f.het + 2 * f.hom_alt + m.hom_alt, m.hom_alt, c.hom_alt)
-    return {"hom_ref": ref, "het": het, "hom_alt": alt, "missing": n - ref - het - alt, "observed": observed, "alt_alleles": alleles}
+    return {"hom_ref": ref, "het": het, "hom_alt": alt, "missing": F.lit(sizes["all"]) - ref - het - alt, "observed": observed, "alt_alleles": alleles}

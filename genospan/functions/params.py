@@ -62,44 +62,11 @@ def resolve_samples(fn: str, samples, iids: list[str | None]) -> list[int]:
     return sorted(found)
 
 
-def resolve_variants(fn: str, variants, table: DataFrame) -> list[int]:
-    """Places (vidx) in list order of a scalar, list, ``{chrom,pos[,ref,alt]}`` or ``{start,stop}``."""
-    ids = table.select("vidx", "ID", "CHROM", "POS", "REF", "ALT")
-    total = None
-
-    def by_index(i: int) -> int:
-        nonlocal total
-        total = ids.count() if total is None else total
-        if not 0 <= i < total:
-            raise ValueError(f"{fn}: variant index {i} out of range (0..{total - 1})")
-        return int(i)
-
-    def by_site(chrom: str, pos: int, ref=None, alt=None, shown: str = "") -> int:
-        at = ids.where((F.col("CHROM") == str(chrom)) & (F.col("POS") == int(pos)))
-        if ref is not None:
-            at = at.where((F.col("REF") == ref) & (F.col("ALT") == alt))
-        got = at.agg(F.min("vidx")).first()[0]
-        if got is None:
-            raise ValueError(f"{fn}: variant '{shown or f'{chrom}:{pos}'}' not found")
-        return got
-
-    def one(v) -> int:
-        if isinstance(v, bool) or v is None:
-            raise ValueError(f"{fn}: variants must not be NULL")
-        if isinstance(v, int):
-            return by_index(v)
-        if isinstance(v, dict):
-            return by_site(v["chrom"], v["pos"], v.get("ref"), v.get("alt"))
-        got = ids.where(F.col("ID") == v).agg(F.max("vidx")).first()[0]  # of repeated ids the last counts
-        if got is not None:
-            return got
-        parts = v.split(":")
-        if len(parts) == 3 or len(parts) > 4:
-            raise ValueError(f"{fn}: invalid CPRA format '{v}'")
-        if len(parts) >= 2 and parts[1].isdigit():
-            return by_site(parts[0], int(parts[1]), *(parts[2:] or (None, None)), shown=v)
-        raise ValueError(f"{fn}: variant '{v}' not found")
+def chosen_variants(fn: str, variants, table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of the asked variants: a scalar, list, ``{chrom,pos[,ref,alt]}`` or ``{start,stop}``.
 
+    All wishes of a list are looked up in ``table`` by one join on the site columns; a range is two bounds on ``vidx``.
+    """
     if variants is None:
         raise ValueError(f"{fn}: variants must not be NULL")
     if isinstance(variants, dict):
@@ -107,21 +74,63 @@ def resolve_variants(fn: str, variants, table: DataFrame) -> list[int]:
         if {"start", "chrom"} <= keys:
             raise ValueError(f"{fn}: ambiguous variants: both start and chrom are given")
         if {"start", "stop"} <= keys:
-            lo, hi = one(variants["start"]), one(variants["stop"])
+            lo, hi = _places(fn, [variants["start"], variants["stop"]], table)
             if lo > hi:
                 raise ValueError(f"{fn}: variants start is after stop")
-            return list(range(lo, hi + 1))
+            return rows.where(F.col("vidx").between(lo, hi))
         if not {"chrom", "pos"} <= keys:
             raise ValueError(f"{fn}: variants must have either start and stop or chrom and pos")
-        return [one(variants)]
-    if isinstance(variants, (int, str)):
-        return [one(variants)]
-    got = [one(v) for v in variants]
-    if not got:
+    listed = [variants] if isinstance(variants, (int, str, dict)) else list(variants)
+    if not listed:
         raise ValueError(f"{fn}: variants list must not be empty")
+    got = _places(fn, listed, table)
     if len(set(got)) < len(got):
         raise ValueError(f"{fn}: duplicate variant index in list")
-    return got
+    if len(got) <= 1000:
+        return rows.where(F.col("vidx").isin(got))
+    wanted = table.sparkSession.createDataFrame([(v,) for v in got], "vidx long")  # as long as the caller's list
+    return rows.join(wanted, "vidx", "left_semi")
+
+
+_WISH = "nth int, id string, chrom string, pos int, ref string, alt string"
+
+
+def _places(fn: str, listed: list, table: DataFrame) -> list[int]:
+    """vidx of each wish, in order: of repeated ids the last, of repeated sites the first."""
+    indexes, wishes = {}, []
+    for i, v in enumerate(listed):
+        if isinstance(v, bool) or v is None:
+            raise ValueError(f"{fn}: variants must not be NULL")
+        if isinstance(v, int):
+            indexes[i] = v
+        elif isinstance(v, dict):
+            wishes.append((i, None, str(v["chrom"]), int(v["pos"]), v.get("ref"), v.get("alt")))
+        else:
+            parts = v.split(":")
+            site = len(parts) in (2, 4) and parts[1].isdigit()
+            wishes.append((i, v, parts[0] if site else None, int(parts[1]) if site else None, *(parts[2:] if len(parts) == 4 and site else (None, None))))
+    if indexes:
+        total = table.count()
+        for v in indexes.values():
+            if not 0 <= v < total:
+                raise ValueError(f"{fn}: variant index {v} out of range (0..{total - 1})")
+    found = dict(indexes)
+    if wishes:
+        asked = table.sparkSession.createDataFrame(wishes, _WISH)
+        if len(wishes) <= 100_000:
+            asked = F.broadcast(asked)
+        sites = table.select("vidx", "ID", "CHROM", "POS", "REF", "ALT")
+        by_id = sites.join(asked, sites["ID"] == asked["id"]).groupBy("nth").agg(F.max("vidx").alias("named"), F.lit(None).cast("long").alias("placed"))
+        by_site = sites.join(asked, (sites["CHROM"] == asked["chrom"]) & (sites["POS"] == asked["pos"]) & (asked["ref"].isNull() | ((sites["REF"] == asked["ref"]) & (sites["ALT"] == asked["alt"]))))
+        by_site = by_site.groupBy("nth").agg(F.lit(None).cast("long").alias("named"), F.min("vidx").alias("placed"))
+        hits = by_id.unionByName(by_site).groupBy("nth").agg(F.coalesce(F.max("named"), F.max("placed")).alias("vidx"))
+        found |= {r.nth: r.vidx for r in hits.collect()}
+        for i, name, chrom, pos, *_ in wishes:
+            if i not in found:
+                if name is not None and len(name.split(":")) not in (1, 2, 4):
+                    raise ValueError(f"{fn}: invalid CPRA format '{name}'")
+                raise ValueError(f"{fn}: variant '{name or f'{chrom}:{pos}'}' not found")
+    return [found[i] for i in range(len(listed))]
 
 
 def parse_range(fn: str, name: str, given: dict | None, low: float, high: float) -> tuple[float, float] | None:

@@ -1,4 +1,4 @@
-"""Call arrays as numpy blocks inside Arrow batches, and sums of per-partition partial results."""
+"""Calls as numpy blocks inside Arrow batches: counts by variant, sums by sample, sums of partial results."""
 
 from __future__ import annotations
 
@@ -10,6 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import packing
+from ..functions.counts import subset
+from ..sources.genotypes import DENSE, Genotypes
+
+_STORED = ("n_het", "n_hom_alt", "n_missing")
+
+
+_DOSE = np.array([0.0, 1.0, 2.0, np.nan])
+
 
 def block(column: pa.Array) -> np.ndarray:
     """(rows, n) doubles of a list column; null elements are NaN. All rows have one length."""
@@ -19,23 +28,65 @@ def block(column: pa.Array) -> np.ndarray:
     return values.reshape(rows, -1) if rows else np.empty((0, 0))
 
 
-def slices(batch: pa.RecordBatch, cells: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def with_doses(data: Genotypes, places: list[int] | None) -> tuple[DataFrame, str]:
+    """The table with what ``doses`` needs, and the name of that column: dosages where there are any, else the calls."""
+    if not data.has("ds"):
+        return data.table, data.calls
+    gt = F.transform(subset(F.col("gt"), places), lambda g: g.cast("double"))
+    ds = F.zip_with(subset(F.col("ds"), places), gt, lambda d, g: F.coalesce(d, g))  # a call stands in for an unknown dosage
+    return data.wide.withColumn("dose", F.coalesce(ds, gt)), "dose"
+
+
+def doses(batch: pa.RecordBatch, n: int, places: np.ndarray | None) -> np.ndarray:
+    """(rows, chosen samples) doubles, NaN where unknown."""
+    return block(batch.column("dose")) if "dose" in batch.schema.names else _DOSE[packing.chosen(batch, n, places)]
+
+
+def slices(batch: pa.RecordBatch, n: int, cells: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``cells`` calls."""
-    if not batch.num_rows:
-        return
-    width = max(1, len(batch.column("gt").flatten()) // batch.num_rows) if "gt" in batch.schema.names else 1
-    step = max(1, cells // width)
+    step = max(1, cells // max(n, 1))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 
 
-def summed(table: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+def typed(table: DataFrame, columns: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+    return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+
+
+def counted(data: Genotypes, keep: list[str], places: list[int] | None = None, groups: dict[str, list[int] | None] | None = None) -> DataFrame:
+    """``keep`` columns of the table and, a group of samples, {group}_het, {group}_alt and {group}_miss.
+
+    One group, ``all``, holds the chosen samples unless ``groups`` says
+    otherwise. Saved counts are taken where they answer; else each batch of
+    calls is counted in packed form, in one pass for all groups.
+    """
+    groups = groups or {"all": places}
+    names = [f"{g}_{k}" for g in groups for k in ("het", "alt", "miss")]
+    if all(p is None for p in groups.values()) and all(data.has(c) for c in _STORED):
+        return data.table.select(*keep, *[F.col(_STORED[i % 3]).cast("long").alias(x) for i, x in enumerate(names)])
+    n = data.n
+    chosen = [None if p is None else np.asarray(p, dtype=np.int64) for p in groups.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = [packing.select_mask(n, p) for p in chosen]
+        for batch in batches:
+            if batch.num_rows:
+                c = packing.counts(packing.packed_of(batch, n), masks)
+                got = [pa.array(np.ascontiguousarray(c[g, :, k])) for g in range(len(masks)) for k in range(3)]
+                yield pa.record_batch([*[batch.column(x) for x in keep], *got], names=[*keep, *names])
+
+    wanted = list(dict.fromkeys([*keep, data.calls]))
+    return data.table.select(*wanted).mapInArrow(run, typed(data.table, keep) + "".join(f", {x} long" for x in names))
+
+
+def summed(table: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...], n: int) -> np.ndarray:
     """Sum of ``partial`` over all batches: within partitions, then among the square root of their number, then here."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, some = np.zeros(shape), False
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, n):
                 total += partial(part)
                 some = True
         if some:
@@ -56,13 +107,13 @@ def summed(table: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], sh
     return sum((np.frombuffer(bytes(r.m)).reshape(shape) for r in rows), np.zeros(shape))
 
 
-def spread_sums(table: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], n: int, names: list[str]) -> DataFrame:
+def spread_sums(table: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], n: int, names: list[str], wide: int) -> DataFrame:
     """(k, *names): per-sample sums; a partition sends one row a sample, whatever its number of variants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, some = np.zeros((len(names), n)), False
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, wide):
                 total += partial(part)
                 some = True
         if some:
@@ -70,3 +121,42 @@ def spread_sums(table: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray
 
     parts = table.mapInArrow(run, "k int, " + ", ".join(f"{x} double" for x in names))
     return parts.groupBy("k").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def sample_tallies(data: Genotypes, places: list[int] | None = None, sparse: bool = False) -> DataFrame:
+    """(k, het, alt, miss): calls of every chosen sample by category; a partition sends one row a sample.
+
+    ``sparse`` reads the saved carriers of rare variants, and the calls of the
+    other variants only.
+    """
+    n = data.n
+    at = None if places is None else np.asarray(places, dtype=np.int64)
+    size = n if at is None else len(at)
+
+    def rows(total: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(total.any(axis=0))
+        return pa.record_batch([pa.array(some.astype(np.int32)), *(pa.array(t[some]) for t in total)], names=["k", "het", "alt", "miss"])
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, size), dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, n, 1 << 22):
+                packing.sample_tally(packing.chosen(part, n, at), total)
+        yield rows(total)
+
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4 * n, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("carriers").flatten().to_numpy(zero_copy_only=False), minlength=4 * n)
+        by_call = total.reshape(n, 4).T[1:]
+        yield rows(by_call if at is None else by_call[:, at])
+
+    schema = "k int, het long, alt long, miss long"
+    if sparse and data.has("carriers"):
+        few = max(1, n // DENSE)
+        parts = data.table.where(F.col("n_other") <= few).select("carriers").mapInArrow(light, schema)
+        if data.table.where(F.col("n_other") > few).select("n_other").limit(1).count():
+            parts = parts.union(data.table.where(F.col("n_other") > few).select(data.calls).mapInArrow(dense, schema))
+    else:
+        parts = data.table.select(data.calls).mapInArrow(dense, schema)
+    return parts.groupBy("k").agg(*[F.sum(x).alias(x) for x in ("het", "alt", "miss")])

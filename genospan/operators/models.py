@@ -10,20 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.counts import subset
 from ..functions.numerics import firth as firth_fit
-from ..functions.numerics import least_squares, logistic, normal_two_sided
+from ..functions.numerics import least_squares, linear_block, logistic, normal_two_sided
 from ..settings import setting
 from ..sources.genotypes import SITE, Genotypes
-from .matrix import block, slices, spread_sums, summed
+from .matrix import counted, doses, slices, spread_sums, summed, with_doses
 from .stats import selected
 
 
-def _dosages(data: Genotypes, places: list[int] | None):
-    """Dosages where there are any, else calls, as doubles."""
-    gt = F.transform(subset(F.col("gt"), places), lambda g: g.cast("double"))
-    return F.coalesce(subset(F.col("ds"), places), gt) if data.has("ds") else gt
-
+#: Weights up to so many (about 30 bytes each) are sent to every executor; more are joined.
+_MOST_BROADCAST = 2_000_000
 
 # ---- scores ------------------------------------------------------------
 
@@ -37,8 +33,9 @@ def score(data: Genotypes, weights, samples=None, region: str | None = None, cen
         raise ValueError(f"{fn}: center and no_mean_imputation cannot both be true")
     if weights is None:
         raise ValueError(f"{fn}: weights parameter is required; weights must not be NULL")
-    table, places = selected(data, fn, samples, region)
+    data, places = selected(data, fn, samples, region)
     spark = data.spark
+    sites = data.table.select("vidx", "ID", "REF", "ALT")
     if isinstance(weights, DataFrame):
         by_id = weights.select(F.col("id").alias("ID"), "allele", F.col("weight").cast("double").alias("weight"))
     else:
@@ -52,42 +49,49 @@ def score(data: Genotypes, weights, samples=None, region: str | None = None, cen
                 raise ValueError(f"{fn}: ID-keyed weights must be structs of id, allele and weight")
             by_id = spark.createDataFrame([(w["id"], w["allele"], float(w["weight"])) for w in weights], "ID string, allele string, weight double")
         else:
-            order = [r.vidx for r in table.orderBy("vidx").select("vidx").collect()]
-            if len(order) != len(weights):
-                raise ValueError(f"{fn}: weights list length {len(weights)} differs from {len(order)} variants")
+            found = sites.count()
+            if found != len(weights):
+                raise ValueError(f"{fn}: weights list length {len(weights)} differs from {found} variants")
+            order = [r.vidx for r in sites.orderBy("vidx").select("vidx").collect()]  # as long as the caller's list
             by_id = None
-            by_place = spark.createDataFrame([(v, float(w)) for v, w in zip(order, weights, strict=True)], "vidx long, weight double")
+            chosen = spark.createDataFrame([(v, float(w), False) for v, w in zip(order, weights, strict=True)], "vidx long, weight double, flip boolean")
     if by_id is not None:
-        joined = table.join(by_id, "ID").withColumn("flip", F.col("allele") == F.col("REF")).where(F.col("flip") | (F.col("allele") == F.col("ALT")))
-        joined = joined.withColumn("flip", F.col("flip") & (F.col("allele") != F.col("ALT")))
-    else:
-        joined = table.join(by_place, "vidx").withColumn("flip", F.lit(False))
-    used = joined.where("weight != 0").select(_dosages(data, places).alias("gt"), "weight", "flip")
+        # Weights meet the site columns; the calls stay where they are.
+        named = sites.join(by_id, "ID").where((F.col("allele") == F.col("REF")) | (F.col("allele") == F.col("ALT")))
+        chosen = named.select("vidx", "weight", (F.col("allele") != F.col("ALT")).alias("flip"))
+    chosen = chosen.where("weight != 0")
+    table, calls = with_doses(data, places)
+    few = data.table.count() <= _MOST_BROADCAST or chosen.limit(_MOST_BROADCAST + 1).count() <= _MOST_BROADCAST
+    used = table.select("vidx", calls).join(F.broadcast(chosen) if few else chosen, "vidx").select(calls, "weight", "flip")
+    n = data.n
+    at = None if places is None else np.asarray(places, dtype=np.int64)
 
     def partial(batch: pa.RecordBatch) -> np.ndarray:
-        d = block(batch.column("gt"))
+        d = doses(batch, n, at)
         w = batch.column("weight").to_numpy(zero_copy_only=False)[:, None]
         flip = batch.column("flip").to_numpy(zero_copy_only=False)[:, None]
         d = np.where(flip, 2 - d, d)
         known = ~np.isnan(d)
-        n = known.sum(axis=1, keepdims=True)
-        mean = np.divide(np.nansum(d, axis=1, keepdims=True), n, out=np.zeros((len(d), 1)), where=n > 0)
+        seen = known.sum(axis=1, keepdims=True)
+        mean = np.divide(np.nansum(d, axis=1, keepdims=True), seen, out=np.zeros((len(d), 1)), where=seen > 0)
         if center:
             f = mean / 2
             sd = np.sqrt(2 * f * (1 - f))
             use = known & (sd > 0)
             x = np.where(use, (np.where(known, d, 0) - mean) / np.where(sd > 0, sd, 1), 0.0)
             return np.stack([use.sum(axis=0), np.zeros(d.shape[1]), (x * w).sum(axis=0)])
-        use = known if no_mean_imputation else np.broadcast_to(n > 0, d.shape)
+        use = known if no_mean_imputation else np.broadcast_to(seen > 0, d.shape)
         x = np.where(known, d, 0.0 if no_mean_imputation else mean)
         x = np.where(use, x, 0.0)
         return np.stack([use.sum(axis=0), x.sum(axis=0), (x * w).sum(axis=0)])
 
-    count = len(places) if places is not None else data.n
-    sums = spread_sums(used, partial, count, ["uses", "named", "total"])
-    index = places if places is not None else list(range(data.n))
-    where = spark.createDataFrame(list(enumerate(index)), "k int, sidx int")
-    rows = data.samples.join(where, "sidx").join(sums, "k", "left")
+    count = len(places) if places is not None else n
+    sums = spread_sums(used, partial, count, ["uses", "named", "total"], n)
+    if places is None:
+        rows = data.samples.join(sums.withColumnRenamed("k", "sidx"), "sidx", "left")
+    else:
+        where = spark.createDataFrame(pa.table({"k": pa.array(range(count), pa.int32()), "sidx": pa.array(places, pa.int32())}))
+        rows = data.samples.join(where, "sidx").join(sums, "k", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     ct = (2 * zero("uses")).cast("int")
     fid = F.col("FID") if "FID" in data.samples.columns else F.lit(None).cast("string").alias("FID")
@@ -129,7 +133,7 @@ def glm(data: Genotypes, phenotype, covariates=None, samples=None, region: str |
     y = _numbers(data, fn, phenotype) if isinstance(phenotype, str) else list(phenotype)
     if len(y) != data.n:
         raise ValueError(f"{fn}: phenotype length {len(y)} differs from {data.n} samples")
-    table, places = selected(data, fn, samples, region)
+    data, places = selected(data, fn, samples, region)
     index = places if places is not None else list(range(data.n))
     names: list[tuple[str, list]] = []
     if covariates is not None:
@@ -157,7 +161,10 @@ def glm(data: Genotypes, phenotype, covariates=None, samples=None, region: str |
         elif set(known) <= {1.0, 2.0}:
             binary, outcome = True, outcome - 1
     extra = np.array([[float(v[i]) for i in index] for _, v in names]).reshape(len(names), len(index)).T
-    wide = table.select(*SITE, _dosages(data, places).alias("gt"))
+    table, calls = with_doses(data, places)
+    wide = table.select(*SITE, calls)
+    at = None if places is None else np.asarray(places, dtype=np.int64)
+    total = data.n
 
     def fit(g: np.ndarray) -> tuple:
         use = ~(np.isnan(g) | np.isnan(outcome))
@@ -185,9 +192,12 @@ def glm(data: Genotypes, phenotype, covariates=None, samples=None, region: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.string()]
+        block = None if binary else linear_block(outcome, extra)
         for batch in batches:
-            for part in slices(batch):
-                got = [fit(g) for g in block(part.column("gt"))]
+            for part in slices(batch, total):
+                g = doses(part, total, at)
+                quick = block(g) if block else [None] * len(g)
+                got = [q or fit(row) for q, row in zip(quick, g, strict=True)]
                 a1f, n, beta, se, t, p, err, odds, how = (pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True))
                 site = [part.column(c) for c in SITE]
                 yield pa.record_batch([*site, part.column("ALT"), a1f, pa.array(["ADD"] * len(got)), n, beta, se, t, p, err, odds, how], names=[c.split()[0] for c in _GLM.split(", ")])
@@ -213,12 +223,18 @@ def pca(data: Genotypes, mode: str = "samples", n_pcs: int = 10, samples=None, r
         raise ValueError(f"{fn}: invalid mode '{mode}'")
     if data.samples is None:
         raise ValueError(f"{fn}: cannot find .psam or .fam; it requires a .psam file")
-    table, places = selected(data, fn, samples, region)
+    data, places = selected(data, fn, samples, region)
     n, k = len(places) if places is not None else data.n, n_pcs
-    z = table.select(_dosages(data, places).alias("gt"))
-    observed = F.filter("gt", lambda g: g.isNotNull())
-    af = F.aggregate(observed, F.lit(0.0), lambda a, g: a + g) / (2 * F.size(observed))
-    z = z.where((F.size(observed) > 0) & (af > 0) & (af < 1)).persist()
+    width_, at = data.n, None if places is None else np.asarray(places, dtype=np.int64)
+    if data.has("ds"):
+        z, calls = with_doses(data, places)
+        observed = F.filter("dose", lambda g: g.isNotNull())
+        seen, alleles = F.size(observed), F.aggregate(observed, F.lit(0.0), lambda a, g: a + g)
+    else:
+        calls = data.calls
+        z = counted(data, [calls], places)
+        seen, alleles = F.lit(n) - F.col("all_miss"), F.col("all_het") + 2 * F.col("all_alt")
+    z = z.where((seen > 0) & (alleles > 0) & (alleles < 2 * seen)).select(calls).persist()
     m = z.count()
     width = 2 * k * (k + 1)
     try:
@@ -232,7 +248,7 @@ def pca(data: Genotypes, mode: str = "samples", n_pcs: int = 10, samples=None, r
             raise ValueError(f"{fn}: would require {m * width} matrix elements, more than max_matrix_elements")
 
         def standard(batch: pa.RecordBatch) -> np.ndarray:
-            g = block(batch.column("gt"))
+            g = doses(batch, width_, at)
             p = np.nanmean(g, axis=1, keepdims=True) / 2
             return np.nan_to_num((g - 2 * p) / np.sqrt(2 * p * (1 - p)))
 
@@ -244,7 +260,7 @@ def pca(data: Genotypes, mode: str = "samples", n_pcs: int = 10, samples=None, r
                 s = standard(batch)
                 return s.T @ (s @ g)
 
-            g = summed(z, back, (n, 2 * k)) / m
+            g = summed(z, back, (n, 2 * k), n) / m
             tried.append(g)
         every = np.concatenate(tried, axis=1)
         scale = np.linalg.norm(every, axis=0)
@@ -254,7 +270,7 @@ def pca(data: Genotypes, mode: str = "samples", n_pcs: int = 10, samples=None, r
             q = standard(batch) @ every
             return q.T @ q
 
-        values, vectors = np.linalg.eigh(summed(z, gram, (width, width)))
+        values, vectors = np.linalg.eigh(summed(z, gram, (width, width), n))
         good = values > values.max() * 1e-12
         turn = vectors[:, good] / np.sqrt(values[good])
 
@@ -262,7 +278,7 @@ def pca(data: Genotypes, mode: str = "samples", n_pcs: int = 10, samples=None, r
             s = standard(batch)
             return s.T @ ((s @ every) @ turn)
 
-        u, size, _ = np.linalg.svd(summed(z, project, (n, turn.shape[1])), full_matrices=False)
+        u, size, _ = np.linalg.svd(summed(z, project, (n, turn.shape[1]), n), full_matrices=False)
     finally:
         z.unpersist()
     pcs, eigen = u[:, :k], (size[:k] ** 2) / m

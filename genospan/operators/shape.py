@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.counts import constant_array, counts_struct, stats_struct, subset
-from ..functions.params import CategoryFilter, in_region, parse_categories, parse_range, parse_region, resolve_samples, resolve_variants
+from ..functions.counts import constant_array, counts_of, stats_struct, subset
+from ..functions.params import CategoryFilter, chosen_variants, in_region, parse_categories, parse_range, parse_region, resolve_samples
 from ..settings import setting
 from ..sources.genotypes import SITE, Genotypes, load, load_many, vcf
+from .matrix import counted, sample_tallies
 
 MODES = ("auto", "array", "list", "columns", "struct", "counts", "stats")
 ORIENTS = ("variant", "genotype", "sample")
@@ -51,7 +53,7 @@ def _element(data: Genotypes, fn: str, dosages: bool, phased: bool, places: list
     gt = subset(F.col("gt"), places)
     if dosages:
         plain = F.transform(gt, lambda g: g.cast("double"))
-        return F.coalesce(subset(F.col("ds"), places), plain) if data.has("ds") else plain
+        return F.coalesce(F.zip_with(subset(F.col("ds"), places), plain, lambda d, g: F.coalesce(d, g)), plain) if data.has("ds") else plain
     masked = gt if keep is None else F.transform(gt, lambda g: F.when(keep.matches(g), g))
     if not phased:
         return masked
@@ -108,28 +110,34 @@ def shape(
     if genotypes == "array" and count > _MOST_ARRAY:
         raise ValueError(f"{fn}: array mode holds at most {_MOST_ARRAY} samples")
 
-    table = data.table.where(in_region(parse_region(fn, region, open_ended=True)))
+    whole = data
+    data = data.where(in_region(parse_region(fn, region, open_ended=True)))
     if variants is not None:
-        chosen = resolve_variants(fn, variants, data.table)
-        table = table.join(F.broadcast(data.spark.createDataFrame([(v,) for v in chosen], "vidx long")), "vidx", "left_semi") if len(chosen) > 1000 else table.where(F.col("vidx").isin(chosen))
-    gt = subset(F.col("gt"), places)
-    c = counts_struct(gt)
-    n, ac = c.hom_ref + c.het + c.hom_alt, c.het + 2 * c.hom_alt
-    for name, high, value in (("af_range", 1.0, F.try_divide(ac, 2 * n)), ("ac_range", 2.0 * count, ac)):
-        limits = parse_range(fn, name, {"af_range": af_range, "ac_range": ac_range}[name], 0, high)
-        if limits:
-            table = table.where((n > 0) & (value >= limits[0]) & (value <= limits[1]))
-    if keep and orient != "genotype":
-        table = table.where(F.exists(gt, keep.matches))
+        data = Genotypes(chosen_variants(fn, variants, whole.table, data.table), data.samples, data.n)
+    limits = {name: parse_range(fn, name, given, 0, high) for name, given, high in (("af_range", af_range, 1.0), ("ac_range", ac_range, 2.0 * count))}
+    by_row = orient == "variant" and genotypes in ("counts", "stats")
+    if by_row or any(limits.values()) or (keep and orient != "genotype"):
+        stored = data.table.columns
+        data = Genotypes(counted(data, list(SITE) if by_row else stored, places), data.samples, data.n)
+        het, alt, miss = (F.col(f"all_{k}") for k in ("het", "alt", "miss"))
+        n, ac = F.lit(count) - miss, het + 2 * alt
+        for name, value in (("af_range", F.try_divide(ac, 2 * n)), ("ac_range", ac)):
+            if limits[name]:
+                data = data.where((n > 0) & (value >= limits[name][0]) & (value <= limits[name][1]))
+        if keep and orient != "genotype":
+            hit = sum((((F.lit(count) - het - alt - miss), het, alt)[v] for v in keep.values), F.lit(0))
+            data = data.where(hit + (miss if keep.missing else F.lit(0)) > 0)
+        if not by_row:
+            data = Genotypes(data.table.select(*stored), data.samples, data.n)
+    site = list(SITE)
+    if by_row:
+        c = counts_of("all", count)
+        return data.table.select(*site, c.alias("genotypes")) if genotypes == "counts" else data.table.select(*site, c.alias("c")).select(*site, stats_struct(F.col("c")).alias("genotypes"))
     if orient == "genotype":
-        return _tidy(data, fn, table, places, dosages, phased, keep)
+        return _tidy(data, fn, data.wide, places, dosages, phased, keep)
     if orient == "sample":
-        return _by_sample(data, fn, table, places, genotypes, dosages, phased, keep)
-    site = list(SITE)
-    if genotypes == "counts":
-        return table.select(*site, c.alias("genotypes"))
-    if genotypes == "stats":
-        return table.select(*site, c.alias("c")).select(*site, stats_struct(F.col("c")).alias("genotypes"))
+        return _by_sample(data, fn, places, genotypes, dosages, phased, keep)
+    table = data.wide
     element = _element(data, fn, dosages, phased, places, keep)
     if genotypes in ("columns", "struct"):
         names = [iids[i] for i in places] if places is not None else iids
@@ -161,20 +169,20 @@ def _tidy(data: Genotypes, fn: str, table: DataFrame, places, dosages, phased, k
     return long.join(people, "sidx").select(*SITE, *columns, F.col("g").alias("genotype"))
 
 
-def _by_sample(data: Genotypes, fn: str, table: DataFrame, places, genotypes: str, dosages: bool, phased: bool, keep) -> DataFrame:
+def _by_sample(data: Genotypes, fn: str, places, genotypes: str, dosages: bool, phased: bool, keep) -> DataFrame:
     people = _people(data, fn)
     columns = [c for c in people.columns if c != "sidx"]
     if places is not None:
         people = people.where(F.col("sidx").isin(places))
     if genotypes in ("counts", "stats"):
-        counted = sample_counts(data, table, places)
-        out = people.join(counted, "sidx")
+        out = people.join(sample_counts(data, places), "sidx")
         if keep:
             hit = sum((F.col(f"genotypes.{('hom_ref', 'het', 'hom_alt')[v]}") for v in keep.values), F.lit(0))
             out = out.where(hit + (F.col("genotypes.missing") if keep.missing else F.lit(0)) > 0)
         last = F.col("genotypes") if genotypes == "counts" else stats_struct(F.col("genotypes"))
         return out.select(*columns, last.alias("genotypes"))
-    variants = table.count()
+    table = data.wide
+    variants = data.table.count()
     cells = variants * (len(places) if places is not None else data.n)
     if cells > setting(data.spark, "max_matrix_elements"):
         raise ValueError(f"{fn}: orient := 'sample' would require {cells} genotype values, more than max_matrix_elements")
@@ -199,35 +207,22 @@ def _by_sample(data: Genotypes, fn: str, table: DataFrame, places, genotypes: st
     return joined.select(*columns, *each) if genotypes == "columns" else joined.select(*columns, F.struct(*each).alias("genotypes"))
 
 
-def sample_counts(data: Genotypes, table: DataFrame, places: list[int] | None = None) -> DataFrame:
-    """(sidx, genotypes) counts of every sample over ``table``.
+def sample_counts(data: Genotypes, places: list[int] | None = None) -> DataFrame:
+    """(sidx, genotypes) counts of every sample.
 
-    Dense: partial sums of the four categories by sample before the shuffle.
-    Sparse (setting sample_counts_sparse): only carriers and missing calls are
-    exploded, and hom_ref is what is left of the number of variants.
+    Calls are summed by sample within each partition. With the setting
+    sample_counts_sparse only the saved carriers of rare variants are read.
     """
     spark = data.spark
     everyone = data.samples.select("sidx") if data.samples is not None else spark.range(data.n).select(F.col("id").cast("int").alias("sidx"))
+    c = sample_tallies(data, places, bool(setting(spark, "sample_counts_sparse")))
     if places is not None:
-        everyone = everyone.where(F.col("sidx").isin(places))
-    gt = subset(F.col("gt"), places)
-    if setting(spark, "sample_counts_sparse"):
-        indexed = F.transform(gt, lambda g, i: F.struct(i.alias("k"), g.alias("g")))
-        some = table.select(F.explode(F.filter(indexed, lambda x: x.g.isNull() | (x.g != 0))).alias("x")).select("x.k", "x.g")
-        sidx = F.col("k") if places is None else F.get(constant_array(places, "int"), F.col("k"))
-        long = some.select(sidx.alias("sidx"), "g")
+        where = spark.createDataFrame(pa.table({"k": pa.array(range(len(places)), pa.int32()), "sidx": pa.array(places, pa.int32())}))
+        everyone, c = everyone.join(where.select("sidx"), "sidx"), c.join(where, "k")
     else:
-        long = _long(data, table, gt, places)
-    c = long.groupBy("sidx").agg(F.count_if(F.col("g") == 1).alias("het"), F.count_if(F.col("g") == 2).alias("hom_alt"), F.count_if(F.col("g").isNull()).alias("missing"))
-    total = table.agg(F.count("*").alias("variants"))
-    got = everyone.join(c, "sidx", "left").join(F.broadcast(total))  # one row
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return got.select(
-        "sidx",
-        F.struct(
-            (F.col("variants") - zero("het") - zero("hom_alt") - zero("missing")).alias("hom_ref"),
-            zero("het").alias("het"),
-            zero("hom_alt").alias("hom_alt"),
-            zero("missing").alias("missing"),
-        ).alias("genotypes"),
-    )
+        c = c.withColumnRenamed("k", "sidx")
+    total = data.table.agg(F.count("*").alias("variants"))
+    got = everyone.join(c.select("sidx", "het", "alt", "miss"), "sidx", "left").join(F.broadcast(total))  # one row
+    het, alt, miss = (F.coalesce(F.col(x), F.lit(0)) for x in ("het", "alt", "miss"))
+    counts = F.struct((F.col("variants") - het - alt - miss).alias("hom_ref"), het.alias("het"), alt.alias("hom_alt"), miss.alias("missing"))
+    return got.select("sidx", counts.alias("genotypes"))

@@ -2,107 +2,128 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.counts import by_sex, counts_struct, ploidy_class, sex_aware, subset
-from ..functions.numerics import hwe_exact, hwe_x
+from ..functions.counts import counts_of, ploidy_class, sex_aware
+from ..functions.numerics import hwe_test
 from ..functions.params import in_region, parse_region, resolve_samples
 from ..sources.genotypes import SITE, Genotypes
+from .matrix import counted, with_doses
 from .shape import sample_counts
 
 
-def selected(data: Genotypes, fn: str, samples, region) -> tuple[DataFrame, list[int] | None]:
+def selected(data: Genotypes, fn: str, samples, region) -> tuple[Genotypes, list[int] | None]:
     """The region's variants, and the places of the chosen samples."""
     places = None
     if samples is not None:
         if data.samples is None and any(isinstance(s, str) for s in samples):
             raise ValueError(f"{fn}: without a .psam samples must be LIST(INTEGER)")
         places = resolve_samples(fn, samples, data.iids() if data.samples is not None else [None] * data.n)
-    return data.table.where(in_region(parse_region(fn, region))), places
+    return data.where(in_region(parse_region(fn, region))), places
+
 
+def _by_sex(data: Genotypes, places: list[int] | None, build: str, fn: str, *more: str) -> tuple[DataFrame, dict[str, int]]:
+    """Site columns, ``_cls`` and the counts of everyone, males and females; with the size of each group.
 
-def _chosen(values: list, places: list[int] | None) -> list:
-    return values if places is None else [values[i] for i in places]
+    Only X and Y ask for a sex. Where counts are saved the calls of their
+    chromosomes alone are read.
+    """
+    sexes = data.sexes() if data.has_sex() else [0] * data.n
+    index = range(data.n) if places is None else places
+    groups = {"all": places, "m": [i for i in index if sexes[i] == 1], "f": [i for i in index if sexes[i] == 2]}
+    sizes = {"all": len(index), "m": len(groups["m"]), "f": len(groups["f"])}
+    data = Genotypes(data.table.withColumn("_cls", ploidy_class(build, fn)), data.samples, data.n)
+    keep = [*SITE, "_cls", *more]
+    if places is not None or not data.has("n_het"):
+        return counted(data, keep, groups=groups), sizes
+    sexed = F.col("_cls").isin("x", "y")
+    none = {f"{g}_{k}": F.lit(0).cast("long") for g in ("m", "f") for k in ("het", "alt", "miss")}
+    out = counted(data.where(~sexed), keep).withColumns(none)
+    labels = [r.CHROM for r in data.table.where(sexed).select("CHROM").distinct().collect()]  # spellings of X and Y
+    if labels:
+        out = out.unionByName(counted(data.where(F.col("CHROM").isin(labels) & sexed), keep, groups=groups))
+    return out, sizes
 
 
 def freq(data: Genotypes, samples=None, region: str | None = None, counts: bool = False, dosage: bool = False, build: str = "GRCh38") -> DataFrame:
     """ALT frequency of every variant, ploidy-aware on X, Y and MT; ``counts`` and ``dosage`` add columns."""
-    table, places = selected(data, "freq", samples, region)
-    cls = ploidy_class(build, "freq")
-    sexes = _chosen(data.sexes(), places)
-    table = table.withColumns({"gt": subset(F.col("gt"), places), "_cls": cls})
-    c = sex_aware(F.col("gt"), F.col("_cls"), sexes, data.has_sex())
+    data, places = selected(data, "freq", samples, region)
+    if dosage:
+        data = _with_dosage_sums(data, places)
+    more = [c for c in ("_n", "_sum", "_square") if data.has(c)]
+    table, sizes = _by_sex(data, places, build, "freq", *more)
+    c = sex_aware(F.col("_cls"), sizes, data.has_sex())
     out = table.withColumns({f"_{k}": v for k, v in c.items()})
     alt_freq = F.when(F.col("_observed") > 0, F.col("_alt_alleles") / F.col("_observed"))
     observed = F.coalesce("_observed", F.lit(0)).cast("int")
     extra = []
     if dosage:
-        ds = subset(F.col("ds"), places) if data.has("ds") else F.transform("gt", lambda g: g.cast("double"))
-        known = F.filter(ds, lambda d: d.isNotNull())
-        sum_ = F.aggregate(known, F.lit(0.0), lambda a, d: a + d)
-        square = F.aggregate(known, F.lit(0.0), lambda a, d: a + d * d)
-        n = F.size(known)
         auto = F.col("_cls") == "auto"
+        ref, het, alt = F.col("_hom_ref"), F.col("_het"), F.col("_hom_alt")
+        # Without dosages the calls are the dosages.
+        n, sum_, square = (F.col("_n"), F.col("_sum"), F.col("_square")) if more else (ref + het + alt, het + 2 * alt, het + 4 * alt)
         alt_freq = F.when(auto, F.when(n > 0, sum_ / (2 * n))).otherwise(alt_freq)
         observed = F.when(auto, 2 * n).otherwise(observed).cast("int")
         p = sum_ / (2 * n)
         r2 = (square / n - (sum_ / n) * (sum_ / n)) / (2 * p * (1 - p))
-        extra = [F.when(auto & (n > 0) & (p > 0) & (p < 1), r2).alias("IMP_R2") if data.has("ds") else F.lit(None).cast("double").alias("IMP_R2")]
+        extra = [F.when(auto & (n > 0) & (p > 0) & (p < 1), r2).alias("IMP_R2") if more else F.lit(None).cast("double").alias("IMP_R2")]
     columns = [F.col(f"_{k}").cast("int").alias(f"{k.upper()}_CT") for k in ("hom_ref", "het", "hom_alt", "missing")] if counts else []
     return out.select(*SITE, alt_freq.alias("ALT_FREQ"), observed.alias("OBS_CT"), *columns, *extra)
 
 
+def _with_dosage_sums(data: Genotypes, places: list[int] | None) -> Genotypes:
+    """Number, sum and sum of squares of the known dosages, as columns; as it is where there are none."""
+    if not data.has("ds"):
+        return data
+    table, dose = with_doses(data, places)
+    known = F.filter(dose, lambda d: d.isNotNull())
+    sums = {"_n": F.size(known), "_sum": F.aggregate(known, F.lit(0.0), lambda a, d: a + d), "_square": F.aggregate(known, F.lit(0.0), lambda a, d: a + d * d)}
+    return Genotypes(table.withColumns(sums).drop(dose), data.samples, data.n)
+
+
 def hardy(data: Genotypes, samples=None, region: str | None = None, midp: bool = False, build: str = "GRCh38") -> DataFrame:
     """Observed and expected heterozygosity and the exact test, joint with male hemizygotes on X.
 
-    The test runs once for every distinct set of counts, on the executors, and
-    is joined back.
+    Counts and tests are narrow: a worker remembers the count sets it has tested.
     """
-    table, places = selected(data, "hardy", samples, region)
-    sexes = _chosen(data.sexes(), places)
+    data, places = selected(data, "hardy", samples, region)
     has_sex = data.has_sex()
-    table = table.withColumns({"gt": subset(F.col("gt"), places), "_cls": ploidy_class(build, "hardy")})
-    c, m, f = (counts_struct(g) for g in (F.col("gt"), by_sex(F.col("gt"), sexes, 1), by_sex(F.col("gt"), sexes, 2)))
+    table, sizes = _by_sex(data, places, build, "hardy")
+    c, m, f = (counts_of(g, sizes[g]) for g in ("all", "m", "f"))
     auto, x, y = F.col("_cls") == "auto", F.col("_cls") == "x", F.col("_cls") == "y"
     known = auto | (F.col("_cls") == "mt") | F.lit(has_sex)
-    pick = lambda a, fx, my, mt: F.when(~known, None).when(auto, a).when(x, fx).when(y, my).otherwise(mt)
-    counted = table.select(
+    pick = lambda a, fx, my, mt: F.when(~known, None).when(auto, a).when(x, fx).when(y, my).otherwise(mt).cast("long")
+    counts = table.select(
         *SITE,
-        "vidx",
         "_cls",
         pick(c.hom_ref, f.hom_ref, m.hom_ref, c.hom_ref).alias("r"),
         pick(c.het, f.het, F.lit(0), F.lit(0)).alias("h"),
         pick(c.hom_alt, f.hom_alt, m.hom_alt, c.hom_alt).alias("a"),
-        F.when(x & known, m.hom_ref).otherwise(0).alias("mr"),
-        F.when(x & known, m.hom_alt).otherwise(0).alias("ma"),
+        F.when(x & known, m.hom_ref).otherwise(0).cast("long").alias("mr"),
+        F.when(x & known, m.hom_alt).otherwise(0).cast("long").alias("ma"),
     )
-    n = F.col("r") + F.col("h") + F.col("a")
-    diploid = F.col("_cls").isin("auto", "x") & (n > 0)
-    p = (2 * F.col("r") + F.col("h")) / (2 * n)
-
-    def test(batches):
-        import pyarrow as pa
 
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(col.to_pylist() for col in batch.columns), strict=True))
-            got = [hwe_x(*row[1:], midp) if row[0] == "x" else hwe_exact(*row[1:4], midp) for row in rows]
+            rows = zip(*(batch.column(k).to_pylist() for k in ("_cls", "r", "h", "a", "mr", "ma")), strict=True)
+            got = [hwe_test(k, *row, midp) if k in ("auto", "x") and row[0] is not None and sum(row[:3]) else None for k, *row in rows]
             yield pa.record_batch([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "P_HWE"])
 
-    key = ["_cls", "r", "h", "a", "mr", "ma"]
-    tested = counted.where(diploid).select(*key).distinct().mapInArrow(test, "_cls string, r long, h long, a long, mr long, ma long, P_HWE double")
-    out = counted.join(tested, [counted[k].eqNullSafe(tested[k]) for k in key], "left")
-    q = lambda k: counted[k]
-    n = q("r") + q("h") + q("a")
-    p = (2 * q("r") + q("h")) / (2 * n)
-    good = q("_cls").isin("auto", "x") & (n > 0)
+    out = counts.mapInArrow(test, "CHROM string, POS int, ID string, REF string, ALT string, _cls string, r long, h long, a long, mr long, ma long, P_HWE double")
+    n = F.col("r") + F.col("h") + F.col("a")
+    p = (2 * F.col("r") + F.col("h")) / (2 * n)
+    good = F.col("_cls").isin("auto", "x") & (n > 0)
     return out.select(
-        *[q(s) for s in SITE],
-        q("ALT").alias("A1"),
-        q("r").cast("int").alias("HOM_REF_CT"),
-        q("h").cast("int").alias("HET_CT"),
-        q("a").cast("int").alias("HOM_ALT_CT"),
-        F.when(good, q("h") / n).alias("O_HET"),
+        *SITE,
+        F.col("ALT").alias("A1"),
+        F.col("r").cast("int").alias("HOM_REF_CT"),
+        F.col("h").cast("int").alias("HET_CT"),
+        F.col("a").cast("int").alias("HOM_ALT_CT"),
+        F.when(good, F.col("h") / n).alias("O_HET"),
         F.when(good, 2 * p * (1 - p)).alias("E_HET"),
         "P_HWE",
     )
@@ -114,13 +135,13 @@ def missing(data: Genotypes, mode: str = "variant", samples=None, region: str |
         raise ValueError("missing: mode must be 'variant' or 'sample'")
     if mode == "sample" and data.samples is None:
         raise ValueError("missing: sample mode requires a .psam file")
-    table, places = selected(data, "missing", samples, region)
+    data, places = selected(data, "missing", samples, region)
     if mode == "variant":
-        c = counts_struct(subset(F.col("gt"), places)).missing
+        c = F.col("all_miss")
         n = F.lit(len(places) if places is not None else data.n)
-        return table.select(*SITE, c.cast("int").alias("MISSING_CT"), (n - c).cast("int").alias("OBS_CT"), F.when(n > 0, c / n).otherwise(0.0).alias("F_MISS"))
-    counted = data.samples.join(sample_counts(data, table, places), "sidx")
+        return counted(data, list(SITE), places).select(*SITE, c.cast("int").alias("MISSING_CT"), (n - c).cast("int").alias("OBS_CT"), F.when(n > 0, c / n).otherwise(0.0).alias("F_MISS"))
+    by_sample = data.samples.join(sample_counts(data, places), "sidx")
     g = F.col("genotypes")
     total = g.hom_ref + g.het + g.hom_alt + g.missing
     fid = F.col("FID") if "FID" in data.samples.columns else F.lit(None).cast("string").alias("FID")
-    return counted.select(fid, "IID", g.missing.cast("int").alias("MISSING_CT"), (total - g.missing).cast("int").alias("OBS_CT"), F.when(total > 0, g.missing / total).otherwise(0.0).alias("F_MISS"))
+    return by_sample.select(fid, "IID", g.missing.cast("int").alias("MISSING_CT"), (total - g.missing).cast("int").alias("OBS_CT"), F.when(total > 0, g.missing / total).otherwise(0.0).alias("F_MISS"))

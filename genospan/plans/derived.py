@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packing import pack
 from ..sources.genotypes import Genotypes
 from .runtime import importable
 
@@ -64,13 +65,12 @@ def dataset(spark: SparkSession, sf_dir: str, dosages: bool = False) -> Genotype
                 owner = part.column("at")
                 sizes = np.array([0 if x is None else len(x) for x in owner.to_pylist()])
                 wide[np.repeat(np.arange(part.num_rows), sizes), owner.flatten().to_numpy(zero_copy_only=False)] = part.column("g").flatten().to_numpy(zero_copy_only=False)
-                flat = pa.array(wide.ravel(), mask=(wide < 0).ravel())
-                gt = pa.ListArray.from_arrays(pa.array(np.arange(0, wide.size + 1, n), pa.int32()), flat)
-                yield pa.record_batch([*[part.column(i) for i in range(6)], gt], names=[*part.schema.names[:6], "gt"])
+                packed = pa.array([row.tobytes() for row in pack(wide)], pa.binary())
+                yield pa.record_batch([*[part.column(i) for i in range(6)], packed], names=[*part.schema.names[:6], "packed"])
 
-    table = sites.join(some, "vidx", "left").mapInArrow(dense, "vidx long, CHROM string, POS int, ID string, REF string, ALT string, gt array<tinyint>")
+    table = sites.join(some, "vidx", "left").mapInArrow(dense, "vidx long, CHROM string, POS int, ID string, REF string, ALT string, packed binary")
     if dosages:
-        table = table.withColumn("ds", F.transform("gt", lambda g, i: F.when(g.isNotNull(), F.least(F.lit(2.0), g.cast("double") + ((F.col("vidx") + i) % 5) / 16.0))))
+        table = Genotypes(table, people, n).wide.withColumn("ds", F.transform("gt", lambda g, i: F.when(g.isNotNull(), F.least(F.lit(2.0), g.cast("double") + ((F.col("vidx") + i) % 5) / 16.0))))
     return Genotypes(table, people, n)
 
 

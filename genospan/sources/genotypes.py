@@ -1,29 +1,36 @@
 """Genotype matrices: VCF text, packed binary (.bed) and Parquet, as one wide table a dataset.
 
 A dataset's ``table`` has a row a variant: vidx, CHROM, POS, ID, REF, ALT and
-``gt``, the ALT counts (0, 1, 2, null) of all samples in file order; ``ds``
-holds dosages and ``phase`` marks hets whose first haplotype carries ALT,
-where the source has them. Analyses read only the columns they need.
+the calls of all samples in file order, either as ``gt``, a list of ALT counts
+(0, 1, 2, null), or as ``packed``, two bits a call; ``ds`` holds dosages and
+``phase`` marks hets whose first haplotype carries ALT, where the source has
+them. A saved matrix also has the counts ``n_het``, ``n_hom_alt`` and
+``n_missing`` and, for rare variants, ``carriers``, the calls that aren't
+hom-ref. Analyses read only the columns they need.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import packing
 from ..functions.params import in_region, parse_region
 from ..plans.runtime import importable
-from .text import companion, exists, expand, first_line, numbered_lines, samples_of, variants_of
+from .text import companion, exists, expand, first_line, located, numbered_lines, samples_of, variants_of
 
 SITE = ("CHROM", "POS", "ID", "REF", "ALT")
 #: A dosage this close to a whole number is also a hard call.
 _HARD = 0.1
 _STEP = 16384
+#: A variant with at most one call in so many that isn't hom-ref is also saved as carriers.
+DENSE = 16
 
 
 @dataclass
@@ -56,13 +63,61 @@ class Genotypes:
     def has_sex(self) -> bool:
         return self.samples is not None and "SEX" in self.samples.columns
 
+    @property
+    def calls(self) -> str:
+        """The column that holds the calls: ``packed`` where there is one, else ``gt``."""
+        return "packed" if self.has("packed") else "gt"
+
+    @property
+    def wide(self) -> DataFrame:
+        """The table with calls as a list, ``gt``."""
+        if self.has("gt"):
+            return self.table
+        n, kept = self.n, [c for c in self.table.columns if c not in ("packed", "carriers")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                step = max(1, (1 << 22) // max(n, 1))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    g = packing.chosen(part, n).ravel()
+                    gt = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * n), pa.array(g.view(np.int8), mask=g == packing.MISSING))
+                    yield pa.record_batch([*[part.column(c) for c in kept], gt], names=[*kept, "gt"])
+
+        kinds = {f.name: f.dataType.simpleString() for f in self.table.schema}
+        return self.table.select(*kept, "packed").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", gt array<tinyint>")
+
+    def where(self, condition: Column) -> Genotypes:
+        """Variants that match; the condition reaches the stored columns."""
+        return replace(self, table=self.table.where(condition))
+
     def write(self, prefix: str) -> None:
-        """Save as Parquet: the matrix ordered by site with category counts, and the samples."""
-        from ..functions.counts import counts_struct
+        """Save as Parquet: packed calls ordered by site with counts and sparse carriers, and the samples."""
+        n, few = self.n, max(1, self.n // DENSE)
+        kept = [c for c in self.table.columns if c in ("vidx", *SITE, "ds", "phase")]
+        added = [("packed", pa.binary()), ("n_het", pa.int32()), ("n_hom_alt", pa.int32()), ("n_missing", pa.int32()), ("n_other", pa.int32()), ("carriers", pa.list_(pa.int64()))]
 
-        c = counts_struct(F.col("gt"))
-        wide = self.table.withColumns({"n_het": c.het, "n_hom_alt": c.hom_alt, "n_missing": c.missing})
-        wide.repartitionByRange("CHROM", "POS", "vidx").sortWithinPartitions("CHROM", "POS", "vidx").write.parquet(f"{prefix}.gt.parquet")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            everyone = [packing.select_mask(n, None)]
+            for batch in batches:
+                step = max(1, (1 << 24) // max(n, 1))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    raw = packing.packed_of(part, n)
+                    c = packing.counts(raw, everyone)[0].astype(np.int32)
+                    other = c.sum(axis=1, dtype=np.int32)
+                    rare = other <= few
+                    codes = packing.unpack(raw, n)
+                    offsets, values = packing.carriers_of(np.where(rare[:, None], codes, 0) if not rare.all() else codes)
+                    carriers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~rare))
+                    ends = np.arange(len(raw) + 1, dtype=np.int32) * raw.shape[1]
+                    packed = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
+                    yield pa.record_batch([*[part.column(x) for x in kept], packed, *(pa.array(np.ascontiguousarray(c[:, k])) for k in range(3)), pa.array(other), carriers], names=[*kept, *[x for x, _ in added]])
+
+        kinds = {f.name: f.dataType.simpleString() for f in self.table.schema}
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", packed binary, n_het int, n_hom_alt int, n_missing int, n_other int, carriers array<long>"
+        saved = self.table.repartitionByRange("CHROM", "POS", "vidx").sortWithinPartitions("CHROM", "POS", "vidx").select(*kept, self.calls).mapInArrow(run, schema)
+        saved.write.parquet(f"{prefix}.gt.parquet")
         if self.samples is not None:
             self.samples.write.parquet(f"{prefix}.psam.parquet")
 
@@ -106,8 +161,13 @@ def _calls(field_: Column, gq: Column, dp: Column, halfcall: str, quality) -> tu
     return count, F.coalesce((sep == "|") & (a == "1") & (b != "1"), F.lit(False))
 
 
-def vcf(spark: SparkSession, path: str, region: str | None = None, min_gq: int | None = None, min_dp: int | None = None, max_dp: int | None = None, halfcall: str = "missing", fn: str = "read_vcf") -> Genotypes:
-    """Biallelic calls of a .vcf or .vcf.gz file; multiallelic rows are skipped, short rows too."""
+def vcf(spark: SparkSession, path: str, region: str | None = None, min_gq: int | None = None, min_dp: int | None = None, max_dp: int | None = None, halfcall: str = "missing", fn: str = "read_vcf", ds_calls: bool = False, warn: bool = True) -> Genotypes:
+    """Biallelic calls of a .vcf or .vcf.gz file; multiallelic rows are skipped (with one warning), short rows too.
+
+    GT gives the calls, row by row wherever FORMAT has it; DS, in rows that
+    have it, gives ``ds`` only. With ``ds_calls`` a known DS also sets the call
+    (missing where it isn't near a whole number).
+    """
     if halfcall not in HALFCALL:
         raise ValueError(f"{fn}: halfcall must be one of {', '.join(HALFCALL)}")
     where = parse_region(fn, region, open_ended=True)
@@ -117,10 +177,13 @@ def vcf(spark: SparkSession, path: str, region: str | None = None, min_gq: int |
     if not names or names[0] != "#CHROM" or len(names) < 10:
         raise ValueError(f"{fn}: '{path}' has no #CHROM header with samples")
     n = len(names) - 9
-    lines = numbered_lines(spark, path, 1)
+    lines = numbered_lines(spark, path)
     f = F.split("value", "\t")
     get = lambda i: F.get(f, i)
     dot = lambda i: F.when(get(i) != ".", get(i))
+    skipped = lines.where(F.contains(F.coalesce(F.get(F.split("value", "\t", 6), 4), F.lit("")), F.lit(","))).count() if warn else 0
+    if skipped:
+        warnings.warn(f"{fn}: skipped {skipped} multiallelic variant(s)", stacklevel=2)
     rows = lines.where(F.size(f) >= 9 + n).select(
         F.col("n").alias("vidx"), get(0).alias("CHROM"), get(1).cast("int").alias("POS"), dot(2).alias("ID"), get(3).alias("REF"), dot(4).alias("ALT"),
         F.split(get(8), ":").alias("fmt"), F.slice(f, 10, n).alias("fields"),
@@ -147,23 +210,28 @@ def vcf(spark: SparkSession, path: str, region: str | None = None, min_gq: int |
         g, first = _calls(x, None, None, halfcall, good)
         return F.struct(g.alias("g"), first.alias("p"))
 
-    called = rows.withColumn("c", F.when(ok, F.transform("fields", call)).otherwise(F.transform("fields", lambda x: F.struct(F.lit(None).cast("tinyint").alias("g"), F.lit(False).alias("p")))))
+    nothing = F.transform("fields", lambda x: F.struct(F.lit(None).cast("tinyint").alias("g"), F.lit(False).alias("p")))
+    called = rows.withColumn("c", F.when(ok, F.transform("fields", call)).otherwise(nothing))
     site = ["vidx", *SITE]
-    table = called.select(*site, F.transform("c", lambda c: c.g).alias("gt"), F.transform("c", lambda c: c.p).alias("phase"), "fmt", "fields")
-    # Dosages, where the file has them, take the place of the hard calls.
-    formats = first_format(lines)
-    if "DS" in formats:
-        at = (F.array_position("fmt", "DS") - 1).cast("int")
-        ds = F.transform("fields", lambda x: F.get(F.split(x, ":"), at).try_cast("double"))
+    gt = F.transform("c", lambda c: c.g)
+    table = called.select(*site, gt.alias("gt"), F.transform("c", lambda c: c.p).alias("phase"), "fmt", "fields")
+    if _has_dosages(spark, path, lines):
+        at = F.array_position("fmt", "DS")
+        ds = F.when(at > 0, F.transform("fields", lambda x: F.get(F.split(x, ":"), (at - 1).cast("int")).try_cast("double")))
         stored, hard = from_dosage(ds)
-        table = table.withColumn("ds", stored).withColumn("gt", hard)
-    samples = spark.createDataFrame([(i, None, x, None) for i, x in enumerate(names[9:])], "sidx int, FID string, IID string, SEX int").drop("FID", "SEX")
+        table = table.withColumn("ds", stored)
+        if ds_calls:
+            known = F.zip_with(F.zip_with(stored, hard, lambda d, h: F.struct(d.alias("d"), h.alias("h"))), F.col("gt"), lambda x, g: F.when(x.d.isNotNull(), x.h).otherwise(g))
+            table = table.withColumn("gt", F.coalesce(known, F.col("gt")))
+    samples = spark.createDataFrame([(i, x) for i, x in enumerate(names[9:])], "sidx int, IID string")
     return Genotypes(table.drop("fmt", "fields"), samples, n)
 
 
-def first_format(lines: DataFrame) -> list[str]:
-    got = lines.select(F.get(F.split("value", "\t"), 8).alias("f")).where("f is not null").limit(1).collect()
-    return got[0].f.split(":") if got else []
+def _has_dosages(spark: SparkSession, path: str, lines: DataFrame) -> bool:
+    """Whether any row has DS: where the header doesn't say so, the FORMAT fields are looked at until one does."""
+    declared = spark.read.text(path).where(F.col("value").startswith("##FORMAT=<ID=DS,")).limit(1).count()
+    fmt = F.concat(F.lit(":"), F.get(F.split("value", "\t", 10), 8), F.lit(":"))
+    return bool(declared or lines.where(F.contains(fmt, F.lit(":DS:"))).limit(1).count())
 
 
 # ---- packed binary -----------------------------------------------------
@@ -205,7 +273,7 @@ def load(spark: SparkSession, fn: str, prefix: str, matrix: str | None = None, p
     """One fileset: a matrix with its variant and sample companions, counts checked against each other."""
     importable(spark)
     stem = next((prefix.removesuffix(m) for m in MATRICES if prefix.endswith(m)), prefix)
-    matrix = matrix or next((stem + m for m in MATRICES if exists(spark, stem + m)), None)
+    matrix = located(spark, matrix) if matrix else next((p for m in MATRICES if exists(spark, p := located(spark, stem + m))), None)
     if matrix is None or not exists(spark, matrix):
         raise ValueError(f"{fn}: cannot find genotype matrix of '{prefix}'")
     sample_path = psam if psam is not None else companion(spark, stem, (".psam", ".fam"))
@@ -213,8 +281,10 @@ def load(spark: SparkSession, fn: str, prefix: str, matrix: str | None = None, p
     if people is None and samples_required and not matrix.endswith((".vcf", ".vcf.gz")):
         raise ValueError(f"{fn}: cannot find .psam or .fam of '{prefix}'; it requires a .psam file")
     if matrix.endswith((".vcf", ".vcf.gz")):
-        got = vcf(spark, matrix, fn=fn)
+        got = vcf(spark, matrix, fn=fn, warn=False)
         table, n, people = got.table, got.n, people if people is not None else got.samples
+        if pvar is not None:
+            table = _resited(spark, fn, table, pvar)
     elif matrix.endswith(".bed"):
         source = pvar if pvar is not None else companion(spark, stem, (".pvar", ".bim"))
         if source is None:
@@ -230,17 +300,40 @@ def load(spark: SparkSession, fn: str, prefix: str, matrix: str | None = None, p
         table = sites.select("vidx", *SITE).join(bed_calls(spark, matrix, n, count, fn), "vidx")
     else:
         table = spark.read.parquet(matrix)
-        n = next((len(r.gt) for r in table.select("gt").limit(1).collect()), 0)
+        if "packed" in table.columns:
+            # The last byte of a row may have room for up to three calls more than there are samples.
+            room = next((4 * r.w for r in table.select(F.octet_length("packed").alias("w")).limit(1).collect()), 0)
+            found = people.count() if people is not None else room
+            n = found if packing.width(found) * 4 == room else room
+        else:
+            n = next((len(r.gt) for r in table.select("gt").limit(1).collect()), 0)
         if pvar is not None:
-            sites = variants_of(spark, fn, pvar)
-            if sites.count() != table.count():
-                raise ValueError(f"{fn}: variant count mismatch between matrix and variant table")
-            table = table.drop(*SITE).join(sites.select("vidx", *SITE), "vidx")
+            table = _resited(spark, fn, table, pvar)
+    _contiguous(fn, table)
     if people is not None and (found := people.count()) != n and n:
         raise ValueError(f"{fn}: sample count mismatch: matrix has {n}, sample table {found}")
     return Genotypes(table, people, n)
 
 
+def _resited(spark: SparkSession, fn: str, table: DataFrame, pvar) -> DataFrame:
+    """The matrix with the sites of another variant table, which must have as many rows."""
+    sites = variants_of(spark, fn, pvar)
+    mine, theirs = table.count(), sites.count()
+    if mine != theirs:
+        raise ValueError(f"{fn}: variant count mismatch: the matrix has {mine} variants, its variant table {theirs}")
+    return table.drop(*SITE).join(sites.select("vidx", *SITE), "vidx")
+
+
+def _contiguous(fn: str, table: DataFrame) -> None:
+    """A chromosome's variants must follow each other; looks at CHROM and vidx only."""
+    runs = table.groupBy("CHROM").agg(F.min("vidx").alias("lo"), F.max("vidx").alias("hi"), F.count("*").alias("n")).where("n > 0")
+    a, b = runs.alias("a"), runs.alias("b")
+    # Runs that overlap share their places with another chromosome's.
+    bad = a.join(b, (F.col("a.CHROM") != F.col("b.CHROM")) & (F.col("a.lo") < F.col("b.lo")) & (F.col("b.lo") < F.col("a.hi"))).select("a.CHROM").limit(1).collect()
+    if bad:
+        raise ValueError(f"{fn}: chromosome '{bad[0].CHROM}' appears in non-contiguous runs (variants must be sorted by (CHROM, POS))")
+
+
 def load_many(spark: SparkSession, fn: str, paths, psam=None, matrix: str | None = None, pvar=None, combine_samples: str = "implicit", samples_required: bool = False) -> Genotypes:
     """Filesets row-concatenated over one sample set; ``vidx`` runs on from shard to shard."""
     prefixes = _prefixes(spark, fn, paths)
