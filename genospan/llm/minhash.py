@@ -3,30 +3,26 @@
 A signature holds, for each of several universal hash functions over 64-bit
 shingle hashes, 16 bits of the smallest value, mixed first: the smallest of
 many values is small, so its own top bits say little. Equal places estimate the
-Jaccard similarity of two shingle sets. Bands of a signature are joined in
-Spark, and pairs that meet are verified on the shingle sets themselves.
+Jaccard similarity of two shingle sets. ``nearcopies`` joins bands of
+signatures in Spark and verifies the pairs that meet on their shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_once, parallelism, stash, texts_of
-from .graph import connected_components
+from .common import parallelism
+from .simhash import shingles
 
 WORDS = 5
 PLACES = 128
-BANDS = 32
 SEED = 42
-LIKE = 0.8
 _CHUNK = 2048
 
 
@@ -35,19 +31,6 @@ def _universal(places: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, places, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, places, dtype=np.uint64)
 
 
-def shingles(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """64-bit hashes of the word shingles of a lower-cased (A-Z) text; too few words: the whole sequence; none: empty."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.empty(0, dtype=np.uint64)
-    if len(tokens) <= words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), seed)], dtype=np.uint64)
-    line = b" ".join(tokens)
-    ends = list(accumulate(len(t) + 1 for t in tokens))
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(line[s : e - 1], seed) for s, e in zip([0, *ends], ends[words - 1 :], strict=False)], dtype=np.uint64)
-
-
 def signature(hashes: np.ndarray, places: int = PLACES, seed: int = SEED) -> np.ndarray:
     """16 bits a place: of the mixed min over shingles of (a*x+b) mod 2^64; an empty set gives all ones."""
     if not len(hashes):
@@ -168,96 +151,3 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS, places: int = PLACE
                 yield pa.record_batch([part.column("doc_id"), *(pa.array(x) for x in zip(*out, strict=True))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def near_classes(docs: DataFrame, words: int = WORDS, places: int = PLACES, bands: int = BANDS, like: float = LIKE, seed: int = SEED) -> DataFrame:
-    """(doc_id, class_id): documents whose shingle sets are linked by Jaccard of ``like`` or more; smallest doc_id of the class."""
-    rooted = _rooted(docs, words, places, bands, like, seed)
-    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "class_id")
-
-
-def drop_near_copies(docs: DataFrame, words: int = WORDS, places: int = PLACES, bands: int = BANDS, like: float = LIKE, seed: int = SEED) -> DataFrame:
-    """Documents with one of each class of ``near_classes``: the one whose doc_id is smallest.
-
-    Rows that repeat the kept doc_id stay once, the one whose text hashes lowest.
-    """
-    kept = _rooted(docs, words, places, bands, like, seed).groupBy("root").agg(F.min("doc_id").alias("doc_id"))
-    return keep_once(docs, kept.select("doc_id"))
-
-
-def _rooted(docs: DataFrame, words: int, places: int, bands: int, like: float, seed: int) -> DataFrame:
-    """(doc_id, root) of every row: one root a class.
-
-    Texts with equal shingle sets are one node. Nodes that share a band are
-    candidates, verified exactly on their shingle sets, which only texts that
-    share a band have made for them. First each bucket's members are verified
-    against its smallest node, twice; then only pairs of a bucket that are not
-    yet in one component are verified, so that a large group of near copies
-    costs about one pair a member and no link that joins two components is
-    missed. Texts without a word are one class.
-    """
-    rows = places // bands
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def node_of(own: np.ndarray) -> int:
-        return int(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), np.int64)[0])
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, signs = [], []
-            for at in range(0, batch.num_rows, 512):
-                for text in texts_of(batch.column("text").slice(at, 512)):
-                    own = np.unique(shingles(text, words, seed))
-                    nodes.append(node_of(own))
-                    signs.append(signature(own, places, seed).tobytes())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "node", "sig"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                sets = [np.unique(shingles(t, words, seed)) for t in texts_of(batch.column("text").slice(at, 512))]
-                yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "own"])
-
-    signed = stash(keyed.mapInArrow(sign, "doc_id long, node long, sig binary"), "minhash-signed")
-    width = 2 * rows
-    cut = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(bands)])
-    banded = signed.dropDuplicates(["node"]).select("node", F.explode(cut).alias("band")).distinct()
-    open_ = stash(banded.join(banded.groupBy("band").count().where("count > 1").select("band"), "band"), "minhash-bands")
-    ids = signed.select("doc_id", "node").join(open_.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("_met"))
-    met = keyed.join(ids.select("_met").distinct(), keyed["doc_id"].eqNullSafe(F.col("_met")), "left_semi").select("text")
-    nodes = stash(met.mapInArrow(gather, "node long, own binary").dropDuplicates(["node"]), "minhash-nodes")
-    left = nodes.select(F.col("node").alias("x"), F.col("own").alias("a"))
-    right = nodes.select(F.col("node").alias("y"), F.col("own").alias("b"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return stash(pairs.distinct().join(left, "x").join(right, "y").mapInArrow(_verify(like), "x long, y long, good boolean"), "minhash-pairs")
-
-    links, rest = None, open_
-    for _ in range(2):
-        heads = rest.groupBy("band").agg(F.min("node").alias("y"))
-        tried = rest.join(heads, "band").where("node != y").select("band", F.col("node").alias("x"), "y")
-        good = verified(tried.select("x", "y"))
-        links = good if links is None else links.union(good)
-        rest = stash(tried.join(good.where("not good"), ["x", "y"]).select("band", F.col("x").alias("node")), "minhash-rest")
-    roots = connected_components(links.where("good").select("x", "y"), "minhash-heads")
-    placed = stash(open_.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "minhash-placed")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    mixed = stash(placed.join(mixed, "band"), "minhash-mixed")
-    other = mixed.select("band", F.col("node").alias("y"), F.col("root").alias("root_y"))
-    across = mixed.withColumnRenamed("node", "x").join(other, "band").where("root < root_y").select("x", "y")
-    links = links.union(verified(across)).where("good").select("x", "y")
-    roots = connected_components(links, "minhash")
-    return signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-
-
-def _verify(like: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= like * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column("x"), batch.column("y"), pa.array(good, pa.bool_())], names=["x", "y", "good"])
-
-    return run

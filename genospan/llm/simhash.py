@@ -37,26 +37,33 @@ _FULL = (1 << 64) - 1
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of a UTF-8 text, repeats counted; no word gives 0."""
+def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of the word shingles of a lower-cased (A-Z) text, repeats included; too few words: the whole sequence; none: empty."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(tokens), seed)]
-    else:
-        line = b" ".join(tokens)
-        ends = list(accumulate(len(t) + 1 for t in tokens))
-        digest = xxhash.xxh64_intdigest
-        starts = [0, *ends]
-        hashes = [digest(line[s : e - 1], seed) for s, e in zip(starts, ends[words - 1 :], strict=False)]
+        return np.array([digest(b" ".join(tokens), seed)], dtype=np.uint64)
+    line = b" ".join(tokens)
+    ends = list(accumulate(len(t) + 1 for t in tokens))
+    return np.array([digest(line[s : e - 1], seed) for s, e in zip([0, *ends], ends[words - 1 :], strict=False)], dtype=np.uint64)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; none give 0."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), _CHUNK):
-        part = np.array(hashes[i : i + _CHUNK], dtype=np.uint64).astype(">u8").view(np.uint8)
+        part = hashes[i : i + _CHUNK].astype(">u8").view(np.uint8)
         counts += np.unpackbits(part.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of a UTF-8 text, repeats counted; no word gives 0."""
+    return bits_of(shingles(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of every document; fp holds the 64 bits as a signed long."""
 

@@ -5,7 +5,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from genospan.llm import langid, minhash, tokencount
+from genospan.llm import langid, minhash, nearcopies, tokencount
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -127,9 +127,9 @@ def test_near_classes_match_brute_force(spark):
     want = {}
     for i in range(len(rows)):
         want[find(i)] = min(500 - i, want.get(find(i), 999))
-    for r in minhash.near_classes(docs).collect():
+    for r in nearcopies.near_classes(docs).collect():
         assert r.class_id == want[find(500 - r.doc_id)]
-    assert minhash.near_classes(docs.where("false")).count() == 0
+    assert nearcopies.near_classes(docs.where("false")).count() == 0
 
 
 def test_long_texts_keep_apart():
