@@ -1,8 +1,10 @@
 """Corpus pipeline: documents through five stages, each written as Parquet and read again.
 
 1. language ID: documents whose language is not identified go;
-2. near-dedup: of documents linked by a Jaccard similarity of 0.8 or more of
-   their five-word shingles one stays, the smallest doc_id;
+2. SimHash near-dedup: classes of SimHash fingerprints of five-word shingles,
+   and MinHash bands for what three bits can't see, give candidates; of
+   documents linked by a Jaccard similarity of 0.8 or more one stays, the
+   smallest doc_id;
 3. suffix-array dedup: passages of 100 bytes or more that also start earlier
    are cut from the texts, and a text that is left without a word goes;
 4. mixing: every document stands as often as the mix takes it;
@@ -19,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genospan.llm import langid, minhash, mixing, pieces, repeats
+from genospan.llm import langid, mixing, nearcopies, pieces, repeats
 from genospan.llm.common import scratch
 from genospan.llm.queries import PIECES, vocabulary
 from genospan.plans.runtime import importable
@@ -34,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return minhash.drop_near_copies(docs)
+    return nearcopies.drop_near_copies(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
