@@ -63,24 +63,36 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    with shuffles_end(spark):
+    with bounded(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Settings of the operators' own writes: shuffle files go when the write ends, not whenever the driver next
+#: collects garbage, and Arrow batches stay small beside an executor's heap, however long the texts are.
+_BOUNDED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 @contextmanager
-def shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """Queries run within let go of their shuffle files when they end, not whenever the driver next collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """Writes within run under ``_BOUNDED``; the session's own settings are back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _BOUNDED}
+    for k, v in _BOUNDED.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Ids up to so many (16 bytes each in a task's table) are sent to every executor; more are joined by a shuffle.
+MOST_IDS = 1_000_000
+
+
+def bounded_broadcast(ids: DataFrame) -> DataFrame:
+    """A stashed table of ids, marked for broadcast where it is small."""
+    return F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -135,12 +147,16 @@ def sampled(fraction: float, seed: int, *key: str) -> Column:
 def keep_once(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``kept``; of rows that repeat one, that whose text hashes lowest."""
     kept = kept.select(F.col("doc_id").alias("_keep")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        left = left.withColumn("_nth_", first).where("_nth_ = 1").drop("_nth_")
-    return left
+    return once(docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi"))
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """One row a doc_id: that whose text hashes lowest, of equal ones any. Rows move only if some id repeats."""
+    if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs
+    nth = next(f"_nth{i}" for i in range(len(docs.columns) + 1) if f"_nth{i}" not in docs.columns)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    return docs.withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
 
 
 def components_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_once, stash, texts_of
+from .common import bounded_broadcast, once, stash, texts_of
 from .graph import connected_components
 from .minhash import PLACES, SEED, WORDS, signature
 from .simhash import bits_of, near_links, shingles
@@ -56,8 +56,11 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, like: float = LIKE, se
 
     Rows that repeat the kept doc_id stay once, the one whose text hashes lowest.
     """
-    kept = stash(_rooted(docs, words, like, seed).groupBy("root").agg(F.min("doc_id").alias("doc_id")), "copies-kept")
-    return keep_once(docs, kept.select("doc_id"))
+    rooted = stash(_rooted(docs, words, like, seed), "copies-rooted")
+    kept = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    ids = rooted.select(F.col("doc_id").alias("_gone")).distinct()
+    gone = stash(ids.join(kept, F.col("_gone").eqNullSafe(kept["doc_id"]), "left_anti"), "copies-gone")
+    return once(docs.join(bounded_broadcast(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti"))
 
 
 def _node(own: np.ndarray) -> int:
@@ -133,7 +136,8 @@ def _rooted(docs: DataFrame, words: int, like: float, seed: int) -> DataFrame:
     open_ = stash(_shared(by_ball.union(_keys(unique, PLACES // BANDS, BANDS, seed))), "copies-buckets")
     met = open_.select("node").distinct()
     ids = signed.select("doc_id", "node").join(met, "node").groupBy("node").agg(F.min("doc_id").alias("_met"))
-    texts = docs.join(ids.select("_met").distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col("_met")), "left_semi")
+    ids = stash(ids.select("_met").distinct(), "copies-met")
+    texts = docs.join(bounded_broadcast(ids), docs["doc_id"].cast("long").eqNullSafe(F.col("_met")), "left_semi")
     sets = stash(_sets(texts, words, seed).join(met, "node", "left_semi").dropDuplicates(["node"]), "copies-sets")
 
     def both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:

@@ -18,6 +18,7 @@ three bits apart matter only for members that agree in every unmasked bit.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -35,19 +36,42 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 RADIUS = 3
 _FULL = (1 << 64) - 1
 _CHUNK = 1 << 16
+#: Bytes of a text that are cut into words at once.
+_PIECE = 1 << 18
 
 
 def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
-    """64-bit hashes of the word shingles of a lower-cased (A-Z) text, repeats included; too few words: the whole sequence; none: empty."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.empty(0, dtype=np.uint64)
+    """64-bit hashes of the word shingles of a lower-cased (A-Z) text, repeats included; too few words: the whole sequence; none: empty.
+
+    A long text is cut into words piece by piece; each piece takes the last words of the one before along.
+    """
     digest = xxhash.xxh64_intdigest
-    if len(tokens) <= words:
-        return np.array([digest(b" ".join(tokens), seed)], dtype=np.uint64)
-    line = b" ".join(tokens)
-    ends = list(accumulate(len(t) + 1 for t in tokens))
-    return np.array([digest(line[s : e - 1], seed) for s, e in zip([0, *ends], ends[words - 1 :], strict=False)], dtype=np.uint64)
+    parts, carried, at = [], [], 0
+    while at < len(text):
+        end = _word_end(text, at + _PIECE)
+        tokens = carried + text[at:end].lower().split()
+        at = end
+        if len(tokens) >= words:
+            line = b" ".join(tokens)
+            ends = list(accumulate(len(t) + 1 for t in tokens))
+            parts.append(np.array([digest(line[s : e - 1], seed) for s, e in zip([0, *ends], ends[words - 1 :], strict=False)], dtype=np.uint64))
+            carried = tokens[len(tokens) - words + 1 :]
+        else:
+            carried = tokens
+    if parts:
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+    return np.array([digest(b" ".join(carried), seed)] if carried else [], dtype=np.uint64)
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_end(text: bytes, at: int) -> int:
+    """The first place from ``at`` on that is between words, or the end."""
+    if at >= len(text):
+        return len(text)
+    found = _BLANK.search(text, at)
+    return found.start() if found else len(text)
 
 
 def bits_of(hashes: np.ndarray) -> int:
