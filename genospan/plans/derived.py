@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packing import pack
 from ..sources.genotypes import Genotypes
-from .runtime import importable
+from .runtime import importable, workspace
 
 _PER_CHROM = 50
 _LABELS = {3: "X", 4: "Y", 5: "MT"}  # fixed values: these runs of parts play the sex-aware chromosomes
@@ -74,6 +74,37 @@ def dataset(spark: SparkSession, sf_dir: str, dosages: bool = False) -> Genotype
     return Genotypes(table, people, n)
 
 
+def write_lines(rows: DataFrame, order: str, header: list[str], path: str) -> str:
+    """``value`` of ``rows`` below a header as one text file: a fixture, so one task writes it."""
+    head = rows.sparkSession.createDataFrame([(i - len(header), h) for i, h in enumerate(header)], "o long, value string")
+    rows.select(F.col(order).cast("long").alias("o"), "value").union(head).repartitionByRange(1, "o").sortWithinPartitions("o").select("value").write.text(path)
+    return path
+
+
+def text_fileset(spark: SparkSession, sf_dir: str) -> str:
+    """Prefix of the derived dataset as text: .vcf, .pvar and .psam.
+
+    Rows of odd vidx are phased (a het's first haplotype carries ALT where
+    vidx + sidx is even, that is where sidx is odd); where vidx % 3 is 1 FORMAT has DS, too.
+    """
+    prefix = workspace(spark, "derived")
+    data = dataset(spark, sf_dir, dosages=True)
+    call = lambda g, i: (
+        F.when(g.isNull(), "./.").when(g == 0, "0/0").when(g == 2, "1/1").when(F.col("vidx") % 2 == 0, "0/1").when((F.col("vidx") + i) % 2 == 0, "1|0").otherwise("0|1")
+    )
+    both = F.zip_with("ds", F.transform("gt", call), lambda d, c: F.when(F.col("vidx") % 3 == 1, F.concat(c, F.lit(":"), F.coalesce(d.cast("string"), F.lit(".")))).otherwise(c))
+    dots = F.lit(".")
+    fmt = F.when(F.col("vidx") % 3 == 1, "GT:DS").otherwise("GT")
+    lines = data.table.select("vidx", F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), "ID", "REF", "ALT", dots, dots, dots, fmt, F.array_join(both, "\t")).alias("value"))
+    people = data.samples.orderBy("sidx").select("IID").collect()
+    write_lines(lines, "vidx", ["##fileformat=VCFv4.3", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *[r.IID for r in people]])], f"{prefix}.vcf")
+    sites = data.table.select("vidx", F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), F.when(F.col("vidx") % 4 != 3, F.col("ID")).otherwise("."), "REF", "ALT", (F.col("vidx") / 8).cast("string")).alias("value"))
+    write_lines(sites, "vidx", ["##made=here", "#CHROM\tPOS\tID\tREF\tALT\tCM"], f"{prefix}.pvar")
+    named = data.samples.select("sidx", F.concat_ws("\t", "IID", F.col("SEX").cast("string"), F.when(F.col("sidx") % 10 == 0, "NA").otherwise(F.col("c_acctbal").cast("string"))).alias("value"))
+    write_lines(named, "sidx", ["#IID\tSEX\tBAL"], f"{prefix}.psam")
+    return prefix
+
+
 _RUN = f"p_partkey // {_PER_CHROM}"
 SQL_PRELUDE = f"""
 WITH variants AS (SELECT p_partkey::BIGINT AS vidx, CASE {_RUN} {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _LABELS.items())} ELSE 'c' || ({_RUN} + 1) END AS CHROM,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +18,13 @@ def importable(spark: SparkSession) -> SparkSession:
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
     return spark
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh path all executors share, below ``spark.checkpoint.dir``; a local session may do without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='genospan-')}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

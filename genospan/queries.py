@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import freq, glm, hardy, ld, missing, pca, score, shape
-from .plans.derived import SQL_PRELUDE, carriers, dataset
+from . import freq, glm, hardy, ld, load, missing, pca, read_fileset, read_samples, read_variants, read_vcf, score, set_setting, shape, vcf
+from .plans.derived import SQL_PRELUDE, carriers, dataset, text_fileset
+from .plans.runtime import workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,27 +49,43 @@ def freq_sex_aware_counts(spark, sf_dir):
 
 
 @_query(f"""
-, d AS (SELECT vidx, sum(CASE WHEN g IS NOT NULL THEN least(2.0, g + ((vidx + sidx) % 5) / 16.0) END) AS s, count(g) AS n FROM calls GROUP BY vidx)
-SELECT {_SITE}, round(s / (2.0 * n), 6)::DOUBLE AS ALT_FREQ, (2 * n)::INTEGER AS OBS_CT FROM d JOIN variants USING (vidx) WHERE CHROM NOT IN ('X', 'Y', 'MT')""")
+, ds AS (SELECT vidx, CASE WHEN g IS NOT NULL THEN least(2.0, g + ((vidx + sidx) % 5) / 16.0) END::DOUBLE AS x FROM calls), d AS (SELECT vidx, sum(x) AS s, sum(x * x) AS q, count(x) AS n FROM ds GROUP BY vidx)
+SELECT {_SITE}, round(s / (2.0 * n), 6)::DOUBLE AS ALT_FREQ, (2 * n)::INTEGER AS OBS_CT, CASE WHEN s > 0 AND s < 2 * n THEN round((q / n - (s / n) ** 2) / (2 * (s / (2.0 * n)) * (1 - s / (2.0 * n))), 5) END::DOUBLE AS IMP_R2 FROM d JOIN variants USING (vidx) WHERE CHROM NOT IN ('X', 'Y', 'MT')""")
 def freq_dosage(spark, sf_dir):
-    return _round(freq(dataset(spark, sf_dir, dosages=True), dosage=True).where("CHROM not in ('X', 'Y', 'MT')").drop("IMP_R2"), "ALT_FREQ")
+    return _round(_round(freq(dataset(spark, sf_dir, dosages=True), dosage=True).where("CHROM not in ('X', 'Y', 'MT')"), "ALT_FREQ"), "IMP_R2", digits=5)
 
 
-@_query(f"""
-, o AS (SELECT vidx, hr, he, ha, hr + he + ha AS n, least(2 * hr + he, 2 * ha + he) AS rare FROM cnt JOIN variants USING (vidx) WHERE CHROM NOT IN ('X', 'Y', 'MT')),
-e AS (SELECT vidx, he, n, rare, unnest(range(rare % 2, rare + 1, 2)) AS h FROM o),
+_EXACT = """
+, e AS (SELECT vidx, he, n, rare, unnest(range(rare % 2, rare + 1, 2)) AS h FROM o),
 l AS (SELECT *, h * ln(2.0) - lgamma((rare - h) // 2 + 1.0) - lgamma(h + 1.0) - lgamma((2 * n - rare - h) // 2 + 1.0) AS lp FROM e),
 p AS (SELECT *, exp(lp - max(lp) OVER w) AS x, exp(max(CASE WHEN h = he THEN lp END) OVER w - max(lp) OVER w) AS own FROM l WINDOW w AS (PARTITION BY vidx)),
-t AS (SELECT vidx, sum(x) FILTER (x <= own * (1 + 1e-8)) / sum(x) AS pv FROM p GROUP BY vidx)
-SELECT {_SITE}, ALT AS A1, hr::INTEGER AS HOM_REF_CT, he::INTEGER AS HET_CT, ha::INTEGER AS HOM_ALT_CT, round(he / n::DOUBLE, 6) AS O_HET, round(2 * ((2 * hr + he) / (2.0 * n)) * (1 - (2 * hr + he) / (2.0 * n)), 6)::DOUBLE AS E_HET, round(least(1, pv), 6)::DOUBLE AS P_HWE
-FROM o JOIN t USING (vidx) JOIN variants USING (vidx)""")
+t AS (SELECT vidx, sum(x) FILTER (x <= own * (1 + 1e-8)) / sum(x) AS pv, (sum(x) FILTER (x <= own * (1 + 1e-8)) - 0.5 * sum(x) FILTER (abs(x - own) <= own * 1e-8)) / sum(x) AS mid FROM p GROUP BY vidx)"""
+_AUTO = ", o AS (SELECT vidx, hr, he, ha, hr + he + ha AS n, least(2 * hr + he, 2 * ha + he) AS rare FROM cnt JOIN variants USING (vidx) WHERE CHROM NOT IN ('X', 'Y', 'MT'))"
+_HARDY = f"SELECT {_SITE}, ALT AS A1, hr::INTEGER AS HOM_REF_CT, he::INTEGER AS HET_CT, ha::INTEGER AS HOM_ALT_CT, round(he / n::DOUBLE, 6) AS O_HET, round(2 * ((2 * hr + he) / (2.0 * n)) * (1 - (2 * hr + he) / (2.0 * n)), 6)::DOUBLE AS E_HET, "
+
+
+@_query(_AUTO + _EXACT + _HARDY + "round(least(1, pv), 6)::DOUBLE AS P_HWE FROM o JOIN t USING (vidx) JOIN variants USING (vidx)")
 def hardy_autosomal(spark, sf_dir):
     return _round(hardy(dataset(spark, sf_dir)).where("CHROM not in ('X', 'Y', 'MT')"), "O_HET", "E_HET", "P_HWE")
 
 
-@_query()
+@_query(_AUTO + _EXACT + _HARDY + "round(least(1, mid), 6)::DOUBLE AS P_HWE FROM o JOIN t USING (vidx) JOIN variants USING (vidx)")
+def hardy_midp(spark, sf_dir):
+    return _round(hardy(dataset(spark, sf_dir), midp=True).where("CHROM not in ('X', 'Y', 'MT')"), "O_HET", "E_HET", "P_HWE")
+
+
+@_query(f"""
+, sx AS (SELECT vidx, count(*) FILTER (g = 0 AND SEX = 1) AS m0, count(*) FILTER (g = 2 AND SEX = 1) AS m2, count(*) FILTER (g = 0 AND SEX = 2) AS f0, count(*) FILTER (g = 1 AND SEX = 2) AS f1, count(*) FILTER (g = 2 AND SEX = 2) AS f2 FROM calls JOIN variants USING (vidx) WHERE CHROM IN ('X', 'Y', 'MT') GROUP BY ALL),
+x AS (SELECT *, f0 + f1 + f2 AS fem, m0 + m2 AS mal, m2 + f1 + 2 * f2 AS alts FROM sx JOIN variants USING (vidx) WHERE CHROM = 'X'),
+xm AS (SELECT *, unnest(range(greatest(0, alts - 2 * fem), least(mal, alts) + 1)) AS m FROM x),
+xh AS (SELECT *, unnest(range((alts - m) % 2, least(alts - m, 2 * fem - alts + m) + 1, 2)) AS h FROM xm),
+l AS (SELECT *, h * ln(2.0) - lgamma(m + 1.0) - lgamma(mal - m + 1.0) - lgamma((alts - m - h) // 2 + 1.0) - lgamma(h + 1.0) - lgamma(fem - h - (alts - m - h) // 2 + 1.0) AS lp FROM xh),
+p AS (SELECT *, exp(lp - max(lp) OVER w) AS y, exp(max(CASE WHEN h = f1 AND m = m2 THEN lp END) OVER w - max(lp) OVER w) AS own FROM l WINDOW w AS (PARTITION BY vidx)),
+t AS (SELECT vidx, (sum(y) FILTER (y <= own * (1 + 1e-8)) - 0.5 * sum(y) FILTER (abs(y - own) <= own * 1e-8)) / sum(y) AS mid FROM p GROUP BY vidx),
+k AS (SELECT v.*, CASE v.CHROM WHEN 'X' THEN f0 WHEN 'Y' THEN m0 ELSE hr END AS r, CASE v.CHROM WHEN 'X' THEN f1 ELSE 0 END AS h, CASE v.CHROM WHEN 'X' THEN f2 WHEN 'Y' THEN m2 ELSE ha END AS a, mid FROM sx JOIN variants v USING (vidx) JOIN cnt USING (vidx) LEFT JOIN t USING (vidx))
+SELECT {_SITE}, ALT AS A1, r::INTEGER AS HOM_REF_CT, h::INTEGER AS HET_CT, a::INTEGER AS HOM_ALT_CT, CASE WHEN CHROM = 'X' THEN round(h / (r + h + a)::DOUBLE, 6) END AS O_HET, CASE WHEN CHROM = 'X' THEN round(2 * ((2 * r + h) / (2.0 * (r + h + a))) * (1 - (2 * r + h) / (2.0 * (r + h + a))), 6) END::DOUBLE AS E_HET, CASE WHEN mid IS NOT NULL THEN round(least(1, mid), 6) END::DOUBLE AS P_HWE FROM k""")
 def hardy_sex_aware_midp(spark, sf_dir):
-    return hardy(dataset(spark, sf_dir), midp=True, build="none").where("CHROM in ('X', 'Y', 'MT')")
+    return _round(hardy(dataset(spark, sf_dir), midp=True, build="none").where("CHROM in ('X', 'Y', 'MT')"), "O_HET", "E_HET", "P_HWE")
 
 
 @_query(f"SELECT {_SITE}, mi::INTEGER AS MISSING_CT, (tot - mi)::INTEGER AS OBS_CT, round(mi / tot::DOUBLE, 6) AS F_MISS FROM cnt JOIN variants USING (vidx)")
@@ -81,11 +98,11 @@ def missing_by_sample(spark, sf_dir):
     return _round(missing(dataset(spark, sf_dir), "sample"), "F_MISS")
 
 
-@_query(f"""SELECT {_SITE}, hr AS hom_ref, he AS het, ha AS hom_alt, mi AS missing, hr + he + ha AS n, round((he + 2 * ha) / (2.0 * (hr + he + ha)), 6)::DOUBLE AS af, round(mi / tot::DOUBLE, 6) AS missing_rate, he + ha AS carrier_count, round(he / (hr + he + ha)::DOUBLE, 6) AS het_rate
+@_query(f"""SELECT {_SITE}, hr AS hom_ref, he AS het, ha AS hom_alt, mi AS missing, hr + he + ha AS n, round((he + 2 * ha) / (2.0 * (hr + he + ha)), 6)::DOUBLE AS af, round(least((he + 2 * ha) / (2.0 * (hr + he + ha)), 1 - (he + 2 * ha) / (2.0 * (hr + he + ha))), 6)::DOUBLE AS maf, round(mi / tot::DOUBLE, 6) AS missing_rate, he + ha AS carrier_count, round(he / (hr + he + ha)::DOUBLE, 6) AS het_rate
 FROM cnt JOIN variants USING (vidx)""")
 def shape_variant_stats(spark, sf_dir):
-    out = shape(dataset(spark, sf_dir), "read_pfile", genotypes="stats").select("CHROM", "POS", "ID", "REF", "ALT", "genotypes.*").drop("maf")
-    return _round(out, "af", "missing_rate", "het_rate")
+    out = shape(dataset(spark, sf_dir), "read_pfile", genotypes="stats").select("CHROM", "POS", "ID", "REF", "ALT", "genotypes.*")
+    return _round(out, "af", "maf", "missing_rate", "het_rate")
 
 
 @_query("SELECT IID, count(*) FILTER (g = 0) AS hom_ref, count(*) FILTER (g = 1) AS het, count(*) FILTER (g = 2) AS hom_alt, count(*) FILTER (g IS NULL) AS missing FROM calls JOIN samples USING (sidx) GROUP BY sidx, IID")
@@ -124,18 +141,32 @@ def shape_category_filter(spark, sf_dir):
     return out.select("CHROM", "POS", "ID", "REF", "ALT", F.size(F.filter("genotypes", lambda g: g.isNotNull())).cast("long").alias("kept"))
 
 
-@_query("""
-, pr AS (SELECT a.vidx AS va, b.vidx AS vb, a.CHROM AS CHROM_A, a.POS AS POS_A, a.ID AS ID_A, b.CHROM AS CHROM_B, b.POS AS POS_B, b.ID AS ID_B FROM variants a JOIN variants b ON a.CHROM = b.CHROM AND a.vidx < b.vidx AND b.POS - a.POS <= 300),
-s AS (SELECT va, vb, count(*) AS n, sum(x.g) AS a, sum(y.g) AS b, sum(x.g * y.g) AS ab, sum(x.g * x.g) AS aa, sum(y.g * y.g) AS bb FROM pr JOIN calls x ON x.vidx = va JOIN calls y ON y.vidx = vb AND y.sidx = x.sidx WHERE x.g IS NOT NULL AND y.g IS NOT NULL GROUP BY ALL),
-q AS (SELECT *, ab / n::DOUBLE - (a / n::DOUBLE) * (b / n::DOUBLE) AS cov, aa / n::DOUBLE - (a / n::DOUBLE) ** 2 AS wa, bb / n::DOUBLE - (b / n::DOUBLE) ** 2 AS wb FROM s)
-SELECT CHROM_A, POS_A, ID_A, CHROM_B, POS_B, ID_B, round(cov * cov / (wa * wb), 6) AS R2, n::INTEGER AS OBS_CT FROM q JOIN pr USING (va, vb) WHERE n >= 2 AND wa >= 1e-15 AND wb >= 1e-15""")
+_LD = """
+s AS (SELECT va, vb, count(*) AS n, sum(x.g)::DOUBLE AS a, sum(y.g)::DOUBLE AS b, sum(x.g * y.g) AS ab, sum(x.g * x.g) AS aa, sum(y.g * y.g) AS bb FROM pr JOIN calls x ON x.vidx = va JOIN calls y ON y.vidx = vb AND y.sidx = x.sidx WHERE x.g IS NOT NULL AND y.g IS NOT NULL GROUP BY ALL),
+q AS (SELECT *, ab / n::DOUBLE - (a / n) * (b / n) AS cov, aa / n::DOUBLE - (a / n) ** 2 AS wa, bb / n::DOUBLE - (b / n) ** 2 AS wb, a / n / 2 AS pa, b / n / 2 AS pb FROM s),
+m AS (SELECT *, cov / 4 AS d, CASE WHEN cov >= 0 THEN least(pa * (1 - pb), (1 - pa) * pb) ELSE greatest(-pa * pb, -(1 - pa) * (1 - pb)) END AS most FROM q WHERE n >= 2 AND wa >= 1e-15 AND wb >= 1e-15)
+SELECT CHROM_A, POS_A, ID_A, CHROM_B, POS_B, ID_B, round(cov * cov / (wa * wb), 6) AS R2, round(CASE WHEN abs(most) < 1e-15 THEN 0 ELSE d / most END, 6)::DOUBLE AS D_PRIME, n::INTEGER AS OBS_CT FROM m JOIN pr USING (va, vb)"""
+_PAIR = "a.vidx AS va, b.vidx AS vb, a.CHROM AS CHROM_A, a.POS AS POS_A, a.ID AS ID_A, b.CHROM AS CHROM_B, b.POS AS POS_B, b.ID AS ID_B FROM variants a JOIN variants b ON "
+
+
+@_query(f", pr AS (SELECT {_PAIR} a.CHROM = b.CHROM AND a.vidx < b.vidx AND b.POS - a.POS <= 300),{_LD}")
 def ld_window(spark, sf_dir):
-    return _round(ld(dataset(spark, sf_dir), window_kb=0.3, r2_threshold=0).drop("D_PRIME"), "R2")
+    return _round(ld(dataset(spark, sf_dir), window_kb=0.3, r2_threshold=0), "R2", "D_PRIME")
 
 
-@_query()
+@_query(f", pr AS (SELECT {_PAIR} a.CHROM = b.CHROM AND a.vidx < b.vidx),{_LD} WHERE cov * cov / (wa * wb) >= 0.004")
+def ld_default_window(spark, sf_dir):
+    return _round(ld(dataset(spark, sf_dir), r2_threshold=0.004), "R2", "D_PRIME")
+
+
+@_query(f", pr AS (SELECT {_PAIR} a.vidx = 3 AND b.vidx = 170), few AS MATERIALIZED (SELECT * FROM calls WHERE vidx IN (3, 170)),{_LD.replace('calls', 'few')}")
 def ld_pair(spark, sf_dir):
-    return ld(dataset(spark, sf_dir), "v3", "v170")
+    return _round(ld(dataset(spark, sf_dir), "v3", "v170"), "R2", "D_PRIME")
+
+
+@_query()
+def ld_across_chromosomes(spark, sf_dir):
+    return ld(dataset(spark, sf_dir), r2_threshold=0.05, inter_chr=True)
 
 
 _SCORE = """
@@ -165,13 +196,30 @@ def score_centred(spark, sf_dir):
     return _round(score(dataset(spark, sf_dir), _weights(spark, sf_dir), center=True), "SCORE_SUM", digits=5).select("IID", "ALLELE_CT", "SCORE_SUM")
 
 
-@_query("""
-, s AS (SELECT vidx, count(*) AS n, avg(g) AS mg, avg(c_acctbal) AS my, regr_sxx(c_acctbal, g) AS sxx, regr_sxy(c_acctbal, g) AS sxy, regr_syy(c_acctbal, g) AS syy FROM calls JOIN samples USING (sidx) WHERE g IS NOT NULL GROUP BY vidx)
-SELECT CHROM, POS, ID, n::INTEGER AS OBS_CT, round(mg / 2, 6) AS A1_FREQ, round(sxy / sxx, 4) AS BETA, round(sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 4) AS SE, round(sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 5) AS T_STAT FROM s JOIN variants USING (vidx) WHERE sxx > 1e-20""")
+_GLM = """
+, s AS (SELECT vidx, count(*) AS n, avg(g) AS mg, regr_sxx(c_acctbal, g) AS sxx, regr_sxy(c_acctbal, g) AS sxy, regr_syy(c_acctbal, g) AS syy FROM calls JOIN samples USING (sidx) WHERE g IS NOT NULL GROUP BY vidx),
+f AS (SELECT *, sxx <= 1e-20 AS flat, sxy / sxx AS beta, sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS se, n - 2.0 AS nu FROM s),
+z AS (SELECT vidx, abs(beta / se) AS t, nu, exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(nu * pi()) AS c, unnest(range(0, 1001)) AS i FROM f WHERE NOT flat),
+pv AS (SELECT vidx, greatest(0, 1 - 2 * sum(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * c * (1 + (t * i / 1000) ** 2 / nu) ** (-(nu + 1) / 2)) * any_value(t) / 3000) AS P FROM z GROUP BY vidx),
+g AS (SELECT CHROM, POS, ID, ALT AS A1, 'ADD' AS TEST, n::INTEGER AS OBS_CT, round(mg / 2, 6) AS A1_FREQ, CASE WHEN NOT flat THEN round(beta, 4) END AS BETA, CASE WHEN NOT flat THEN round(se, 4) END AS SE, CASE WHEN NOT flat THEN round(beta / se, 5) END AS T_STAT, pv.P AS p_, round(pv.P, 6)::DOUBLE AS P, CASE WHEN flat THEN 'CONST_ALLELE' END AS ERRCODE
+  FROM f JOIN variants USING (vidx) LEFT JOIN pv USING (vidx))
+"""
+_GLM_COLUMNS = ["CHROM", "POS", "ID", "A1", "TEST", "OBS_CT", "A1_FREQ", "BETA", "SE", "T_STAT", "P", "ERRCODE"]
+
+
+def _glm_rounded(out: DataFrame) -> DataFrame:
+    out = _round(_round(_round(out, "A1_FREQ", "P"), "BETA", "SE", digits=4), "T_STAT", digits=5)
+    return out.select(*_GLM_COLUMNS)
+
+
+@_query(_GLM + "SELECT * EXCLUDE (p_) FROM g")
 def glm_linear(spark, sf_dir):
-    out = glm(dataset(spark, sf_dir), "c_acctbal").where("ERRCODE is null")
-    out = _round(_round(_round(out, "A1_FREQ"), "BETA", "SE", digits=4), "T_STAT", digits=5)
-    return out.select("CHROM", "POS", "ID", "OBS_CT", "A1_FREQ", "BETA", "SE", "T_STAT")
+    return _glm_rounded(glm(dataset(spark, sf_dir), "c_acctbal"))
+
+
+@_query(_GLM + "SELECT * EXCLUDE (p_) FROM g WHERE p_ <= 0.05")
+def glm_p_threshold(spark, sf_dir):
+    return _glm_rounded(glm(dataset(spark, sf_dir), "c_acctbal", p_threshold=0.05))
 
 
 @_query()
@@ -184,6 +232,14 @@ def pca_samples(spark, sf_dir):
     return pca(dataset(spark, sf_dir), n_pcs=2)
 
 
+@_query("SELECT count(*) AS samples, 2::BIGINT AS components, true AS unit_length, true AS at_right_angles FROM customer")
+def pca_orthonormal(spark, sf_dir):
+    p = pca(dataset(spark, sf_dir), n_pcs=2)
+    s = p.agg(F.count("*").alias("samples"), F.sum(F.col("PC1") ** 2).alias("a"), F.sum(F.col("PC2") ** 2).alias("b"), F.sum(F.col("PC1") * F.col("PC2")).alias("ab"))
+    unit = (F.abs(F.col("a") - 1) < 1e-8) & (F.abs(F.col("b") - 1) < 1e-8)
+    return s.select("samples", F.lit(len([c for c in p.columns if c.startswith("PC")])).cast("long").alias("components"), unit.alias("unit_length"), (F.abs("ab") < 1e-8).alias("at_right_angles"))
+
+
 @_query("""
 , f AS (SELECT CHROM, POS, ID, (he + 2 * ha) / (2.0 * (hr + he + ha)) AS af, mi FROM cnt JOIN variants USING (vidx)),
 r AS (SELECT *, row_number() OVER (PARTITION BY CHROM ORDER BY af DESC, ID) AS nth FROM f)
@@ -206,3 +262,143 @@ def host_group_having(spark, sf_dir):
 def sparse_carrier_counts(spark, sf_dir):
     c = carriers(spark, sf_dir)
     return c.groupBy("vidx").agg(F.count_if(F.col("g") == 1).alias("het"), F.count_if(F.col("g") == 2).alias("hom_alt"), F.count_if(F.col("g") == -1).alias("missing"))
+
+
+def _calls(frame: DataFrame, column: str = "genotypes") -> F.Column:
+    return F.array_join(F.transform(column, lambda g: F.coalesce(g.cast("string"), F.lit("."))), "")
+
+
+_STRING = "string_agg(coalesce(g::VARCHAR, '.'), '' ORDER BY sidx) AS calls"
+
+
+@_query(f"SELECT {_SITE}, {_STRING} FROM calls JOIN variants USING (vidx) WHERE vidx IN (5, 61, 200, 12, 77) GROUP BY ALL")
+def shape_variant_choice(spark, sf_dir):
+    chosen = ["v5", "c2:1200", 200, {"chrom": "c1", "pos": 1300}, "v77"]
+    out = shape(dataset(spark, sf_dir), "read_pfile", variants=chosen, genotypes="list")
+    return out.select("CHROM", "POS", "ID", "REF", "ALT", _calls(out).alias("calls"))
+
+
+@_query(f"SELECT {_SITE}, {_STRING} FROM calls JOIN variants USING (vidx) WHERE vidx BETWEEN 20 AND 130 GROUP BY ALL")
+def shape_variant_range(spark, sf_dir):
+    out = shape(dataset(spark, sf_dir), "read_pfile", variants={"start": "v20", "stop": 130})
+    return out.select("CHROM", "POS", "ID", "REF", "ALT", _calls(out).alias("calls"))
+
+
+@_query(f"SELECT {_SITE}, string_agg(coalesce(CASE WHEN g >= 1 THEN g END::VARCHAR, '.'), '' ORDER BY sidx) AS calls FROM calls JOIN variants USING (vidx) GROUP BY ALL HAVING count(*) FILTER (g >= 1) > 0")
+def shape_genotype_range(spark, sf_dir):
+    out = shape(dataset(spark, sf_dir), "read_pfile", genotype_range={"min": 1, "max": 2})
+    return out.select("CHROM", "POS", "ID", "REF", "ALT", _calls(out).alias("calls"))
+
+
+@_query("SELECT IID, string_agg(coalesce(CASE WHEN g IN (1, 2) THEN g END::VARCHAR, '.'), '' ORDER BY vidx) AS calls FROM calls JOIN samples USING (sidx) JOIN variants USING (vidx) WHERE CHROM = 'c9' GROUP BY sidx, IID HAVING count(*) FILTER (g IN (1, 2)) > 0")
+def shape_sample_carriers(spark, sf_dir):
+    out = shape(dataset(spark, sf_dir), "read_pfile", orient="sample", region="c9", include_genotypes=["het", "hom_alt"])
+    return out.select("IID", _calls(out).alias("calls"))
+
+
+@_query(f"SELECT {_SITE}, " + ", ".join(f"max(g) FILTER (sidx = {i})::INTEGER AS s{i}" for i in (3, 40, 99)) + " FROM calls JOIN variants USING (vidx) GROUP BY ALL")
+def shape_columns(spark, sf_dir):
+    out = shape(dataset(spark, sf_dir), "read_pfile", samples=[3, 40, 99], genotypes="columns")
+    return out.toDF("CHROM", "POS", "ID", "REF", "ALT", "s3", "s40", "s99").withColumns({c: F.col(c).cast("int") for c in ("s3", "s40", "s99")})
+
+
+@_query("SELECT IID, " + ", ".join(f"max(g) FILTER (vidx = {i})::INTEGER AS v{i}" for i in range(304, 310)) + " FROM calls JOIN samples USING (sidx) GROUP BY sidx, IID")
+def shape_sample_columns(spark, sf_dir):
+    if spark.read.parquet(f"{sf_dir}/part.parquet").count() <= 309:  # the smallest dataset ends before these variants
+        return spark.createDataFrame([], "IID string, " + ", ".join(f"v{i} int" for i in range(304, 310)))
+    out = shape(dataset(spark, sf_dir), "read_pfile", orient="sample", genotypes="columns", region="c7:500-1000")
+    return out.select("IID", *[F.col(f"v{i}").cast("int") for i in range(304, 310)])
+
+
+@_query(f"SELECT {_SITE}, IID, g::INTEGER AS genotype FROM calls JOIN variants USING (vidx) JOIN samples USING (sidx) WHERE g IS NULL OR g = 2")
+def shape_tidy_missing(spark, sf_dir):
+    out = shape(dataset(spark, sf_dir), "read_pfile", orient="genotype", genotype_range={"min": 2, "max": 2, "include_missing": True})
+    return out.select("CHROM", "POS", "ID", "REF", "ALT", "IID", F.col("genotype").cast("int").alias("genotype"))
+
+
+@_query("SELECT DISTINCT CHROM FROM cnt JOIN variants USING (vidx) WHERE mi > 3 EXCEPT SELECT CHROM FROM cnt JOIN variants USING (vidx) WHERE he + ha > 40")
+def host_set_operations(spark, sf_dir):
+    c = shape(dataset(spark, sf_dir), "read_pfile", genotypes="counts").select("CHROM", "genotypes.*")
+    return c.where("missing > 3").select("CHROM").distinct().subtract(c.where("het + hom_alt > 40").select("CHROM"))
+
+
+@_query("SELECT c_mktsegment AS segment, count(*) AS people, sum(n)::BIGINT AS carried FROM (SELECT sidx, count(*) FILTER (g IN (1, 2)) AS n FROM calls GROUP BY sidx) JOIN customer ON c_custkey = sidx GROUP BY c_mktsegment")
+def host_sql_over_views(spark, sf_dir):
+    shape(dataset(spark, sf_dir), "read_pfile", orient="sample", genotypes="counts").createOrReplaceTempView("genospan_counts")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("genospan_people")
+    return spark.sql("""WITH carried AS (SELECT IID, genotypes.het + genotypes.hom_alt AS n FROM genospan_counts)
+        SELECT c_mktsegment AS segment, count(*) AS people, sum(n) AS carried FROM carried JOIN genospan_people ON c_name = IID GROUP BY c_mktsegment""")
+
+
+@_query("SELECT a.ID AS ID, count(*) AS rarer FROM (SELECT ID, CHROM, he + 2 * ha AS ac FROM cnt JOIN variants USING (vidx)) a JOIN (SELECT CHROM, he + 2 * ha AS ac FROM cnt JOIN variants USING (vidx)) b ON a.CHROM = b.CHROM AND b.ac < a.ac GROUP BY a.ID")
+def host_theta_join(spark, sf_dir):
+    c = shape(dataset(spark, sf_dir), "read_pfile", genotypes="counts").select("ID", "CHROM", (F.col("genotypes.het") + 2 * F.col("genotypes.hom_alt")).alias("ac"))
+    a, b = c.alias("a"), c.alias("b")
+    return a.join(b, (F.col("a.CHROM") == F.col("b.CHROM")) & (F.col("b.ac") < F.col("a.ac"))).groupBy(F.col("a.ID").alias("ID")).agg(F.count("*").alias("rarer"))
+
+
+# ---- through files -----------------------------------------------------
+
+
+@_query("SELECT vidx, CHROM, POS, CASE WHEN vidx % 4 <> 3 THEN ID END AS ID, REF, ALT, vidx / 8.0::DOUBLE AS CM FROM variants")
+def read_variant_file(spark, sf_dir):
+    return read_variants(spark, text_fileset(spark, sf_dir) + ".pvar")
+
+
+@_query("SELECT sidx, IID, CASE WHEN SEX > 0 THEN SEX END::INTEGER AS SEX, CASE WHEN sidx % 10 <> 0 THEN c_acctbal END::DOUBLE AS BAL FROM samples")
+def read_sample_file(spark, sf_dir):
+    return read_samples(spark, text_fileset(spark, sf_dir) + ".psam").withColumn("BAL", F.col("BAL").cast("double"))
+
+
+@_query(f"SELECT CHROM AS chrom, POS AS pos, ID AS id, REF AS ref, ALT AS alt, {_STRING} FROM calls JOIN variants USING (vidx) GROUP BY ALL")
+def read_vcf_calls(spark, sf_dir):
+    out = read_vcf(spark, text_fileset(spark, sf_dir) + ".vcf", genotypes="list")
+    return out.select("chrom", "pos", "id", "ref", "alt", _calls(out).alias("calls"))
+
+
+@_query("SELECT ID AS id, string_agg(CASE WHEN g IS NULL THEN '..' WHEN g = 0 THEN '00' WHEN g = 2 THEN '11' WHEN vidx % 2 = 1 AND sidx % 2 = 1 THEN '10' ELSE '01' END, '' ORDER BY sidx) AS calls FROM calls JOIN variants USING (vidx) WHERE CHROM = 'c2' GROUP BY ID")
+def read_vcf_phased(spark, sf_dir):
+    out = read_vcf(spark, text_fileset(spark, sf_dir) + ".vcf", phased=True, region="c2")
+    pair = F.transform("genotypes", lambda g: F.when(g.isNull(), "..").otherwise(F.concat(F.get(g, 0).cast("string"), F.get(g, 1).cast("string"))))
+    return out.select("id", F.array_join(pair, "").alias("calls"))
+
+
+@_query(f"""
+, d AS (SELECT vidx, sum(CASE WHEN vidx % 3 = 1 THEN least(2.0, g + ((vidx + sidx) % 5) / 16.0) ELSE g END)::DOUBLE AS s, count(g) AS n FROM calls WHERE g IS NOT NULL GROUP BY vidx)
+SELECT {_SITE}, round(s / (2.0 * n), 6)::DOUBLE AS ALT_FREQ, (2 * n)::INTEGER AS OBS_CT FROM d JOIN variants USING (vidx) WHERE CHROM NOT IN ('X', 'Y', 'MT')""")
+def vcf_dosage_freq(spark, sf_dir):
+    out = freq(vcf(spark, text_fileset(spark, sf_dir) + ".vcf"), dosage=True).where("CHROM not in ('X', 'Y', 'MT')")
+    return _round(out.drop("IMP_R2"), "ALT_FREQ")
+
+
+@_query("SELECT ID, string_agg(coalesce(CASE WHEN vidx % 3 = 1 AND g IS NOT NULL THEN least(2.0, g + ((vidx + sidx) % 5) / 16.0) ELSE g END::DOUBLE::VARCHAR, '.'), ' ' ORDER BY sidx) AS doses FROM calls JOIN variants USING (vidx) WHERE CHROM = 'c2' GROUP BY ID")
+def vcf_dosage_lists(spark, sf_dir):
+    out = shape(vcf(spark, text_fileset(spark, sf_dir) + ".vcf"), "read_pfile", region="c2", dosages=True)
+    return out.select("ID", F.array_join(F.transform("genotypes", lambda d: F.coalesce(d.cast("string"), F.lit("."))), " ").alias("doses"))
+
+
+def _saved(spark, sf_dir):
+    prefix = workspace(spark, "saved")
+    dataset(spark, sf_dir).write(prefix)
+    return prefix
+
+
+@_query(f"SELECT {_SITE}, round((he + 2 * ha) / (2.0 * (hr + he + ha)), 6)::DOUBLE AS ALT_FREQ, (2 * (hr + he + ha))::INTEGER AS OBS_CT, hr::INTEGER AS HOM_REF_CT, he::INTEGER AS HET_CT, ha::INTEGER AS HOM_ALT_CT, mi::INTEGER AS MISSING_CT FROM cnt JOIN variants USING (vidx) WHERE CHROM = 'c8' AND POS BETWEEN 300 AND 2500")
+def saved_region_freq(spark, sf_dir):
+    return _round(freq(load(spark, "freq", _saved(spark, sf_dir)), region="c8:300-2500", counts=True), "ALT_FREQ")
+
+
+@_query("SELECT IID, count(*) FILTER (g = 0) AS hom_ref, count(*) FILTER (g = 1) AS het, count(*) FILTER (g = 2) AS hom_alt, count(*) FILTER (g IS NULL) AS missing FROM calls JOIN samples USING (sidx) GROUP BY sidx, IID")
+def saved_sparse_sample_counts(spark, sf_dir):
+    set_setting(spark, "sample_counts_sparse", True)
+    try:
+        return read_fileset(spark, _saved(spark, sf_dir), orient="sample", genotypes="counts").select("IID", "genotypes.*")
+    finally:
+        set_setting(spark, "sample_counts_sparse", False)
+
+
+@_query(f"SELECT {_SITE}, {_STRING} FROM calls JOIN variants USING (vidx) CROSS JOIN (SELECT unnest([0, 1]) AS r) GROUP BY CHROM, POS, ID, REF, ALT, r")
+def saved_shards(spark, sf_dir):
+    prefix = _saved(spark, sf_dir)
+    out = read_fileset(spark, [prefix, prefix], combine_samples="identical")
+    return out.select("CHROM", "POS", "ID", "REF", "ALT", _calls(out).alias("calls"))
