@@ -1,18 +1,19 @@
 """Near copies by word shingles: candidates by SimHash balls and MinHash bands, verified by Jaccard similarity.
 
-A bucket is a class of SimHash fingerprints linked through their balls, or a
-band of a MinHash signature. Fingerprints gather most copies cheaply; bands
-find the rest (a pair at similarity 0.8 misses all 32 with a chance of 5e-8,
-where three of 64 SimHash bits see few such pairs).
+SimHash fingerprints that are equal form a bucket, those whose balls meet are
+pairs at once; a band of a MinHash signature is a bucket, too. Fingerprints
+see most copies, bands the rest (a pair at similarity 0.8 misses all 32 with a
+chance of 5e-8, where three of 64 SimHash bits see few such pairs).
 
 No bucket is paired out. Its members are first held against its smallest one,
 twice; a large group of copies is joined by that at one pair a member. Buckets
 that still span several components are paired out where they are small. The
-members of larger ones (texts that share much but too little) go into buckets
-of more and more signature places, which a pair at 0.8 shares somewhere with a
-chance of 0.99999, until those are small too; what is large at the last level
-is held against one member after another. Pairs whose signatures agree in
-under 0.6 of 128 places (5.8 standard deviations below 0.8) are not verified.
+members of larger ones (texts that share much but too little) are paired by
+their rarest shingles: of two sets as similar as that, the first fifth or so of
+each, in order of how few of these sets have a shingle, must have one in
+common, and such shingles are rare where most of the text is shared. Pairs
+whose signatures agree in under 0.6 of 128 places (5.8 standard deviations
+below 0.8) are not verified.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, once, stash, texts_of
@@ -36,8 +37,6 @@ LIKE = 0.8
 LIKELY = 0.6
 #: A bucket of at most so many members is paired out.
 SMALL = 16
-#: (places a key, keys) of the levels that split larger buckets.
-LEVELS = ((8, 64), (12, 160), (16, 400))
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, like: float = LIKE, seed: int = SEED) -> DataFrame:
@@ -98,26 +97,21 @@ def _sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, own binary")
 
 
-def _keys(unique: DataFrame, places: int, keys: int, seed: int) -> DataFrame:
-    """(bucket, node): ``keys`` fixed choices of ``places`` signature places each; bands where they cover the signature once."""
-    rng = np.random.default_rng(seed + places)
-    if places * keys == PLACES:
-        choice = np.arange(PLACES).reshape(keys, places)
-    else:
-        choice = np.stack([np.sort(rng.choice(PLACES, places, replace=False)) for _ in range(keys)])
-    factors = rng.integers(0, 1 << 63, places, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _bands(unique: DataFrame, seed: int) -> DataFrame:
+    """(bucket, node): a bucket a band of the signature."""
+    places = PLACES // BANDS
+    factors = np.random.default_rng(seed).integers(0, 1 << 63, places, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), ">u2").reshape(-1, PLACES).astype(np.uint64)
-                key = np.broadcast_to(np.arange(1, keys + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15), (len(sig), keys)).copy()
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), ">u2").reshape(-1, BANDS, places).astype(np.uint64)
+                key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15), sig.shape[:2]).copy()
                 for i in range(places):
-                    key = (key ^ sig[:, choice[:, i]]) * factors[i]
+                    key = (key ^ sig[:, :, i]) * factors[i]
                     key ^= key >> np.uint64(29)
-                node = part.column("node").to_numpy(zero_copy_only=False)
-                yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, keys))], names=["bucket", "node"])
+                yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part.column("node").to_numpy(zero_copy_only=False), BANDS))], names=["bucket", "node"])
 
     return unique.select("node", "sig").mapInArrow(run, "bucket long, node long")
 
@@ -131,10 +125,13 @@ def _rooted(docs: DataFrame, words: int, like: float, seed: int) -> DataFrame:
     """(doc_id, root) of every row: one root a class."""
     signed = stash(_signed(docs, words, seed), "copies-signed")
     unique = stash(signed.dropDuplicates(["node"]).select("node", "sig", "fp"), "copies-unique")
-    balls = connected_components(near_links(unique), "copies-balls").select(F.col("node").alias("fp"), "root")
-    by_ball = unique.select("node", "fp").join(balls, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit(seed)).alias("bucket"), "node")
-    open_ = stash(_shared(by_ball.union(_keys(unique, PLACES // BANDS, BANDS, seed))), "copies-buckets")
-    met = open_.select("node").distinct()
+    # Equal fingerprints are a bucket; those whose balls meet are pairs of their smallest nodes.
+    by_print = unique.select(F.xxhash64("fp", F.lit(seed)).alias("bucket"), "node")
+    open_ = stash(_shared(by_print.union(_bands(unique, seed))), "copies-buckets")
+    lead = unique.groupBy("fp").agg(F.min("node").alias("node"))
+    balls = near_links(unique).join(lead.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    balls = stash(balls.select("x", "y"), "copies-balls")
+    met = open_.select("node").union(balls.select("x")).union(balls.select("y")).distinct()
     ids = signed.select("doc_id", "node").join(met, "node").groupBy("node").agg(F.min("doc_id").alias("_met"))
     ids = stash(ids.select("_met").distinct(), "copies-met")
     texts = docs.join(bounded_broadcast(ids), docs["doc_id"].cast("long").eqNullSafe(F.col("_met")), "left_semi")
@@ -152,40 +149,49 @@ def _rooted(docs: DataFrame, words: int, like: float, seed: int) -> DataFrame:
         return stash(both(near, sets, "own").mapInArrow(_keep(_similar(like)), "x long, y long"), "copies-links")
 
     links, rest = None, open_
-    for _ in range(2):
+    for first in (True, False):
         heads = rest.groupBy("bucket").agg(F.min("node").alias("y"))
         tried = rest.join(heads, "bucket").where("node != y").select("bucket", F.col("node").alias("x"), "y")
-        good = verified(tried.select("x", "y"))
+        good = verified(tried.select("x", "y").union(balls) if first else tried.select("x", "y"))
         links = good if links is None else links.union(good)
-        rest = stash(tried.join(good, ["x", "y"], "left_anti").select("bucket", F.col("x").alias("node")), "copies-rest")
+        if first:
+            rest = stash(tried.join(good, ["x", "y"], "left_anti").select("bucket", F.col("x").alias("node")), "copies-rest")
     roots = connected_components(links, "copies-heads")
-    links = links.union(verified(_across(open_, unique, roots, verified, seed)))
-    roots = connected_components(links, "copies")
+    more = verified(_across(open_, sets, roots, like))
+    if more.limit(1).count():
+        roots = connected_components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).union(more), "copies")
     return signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
 
 
-def _across(buckets: DataFrame, unique: DataFrame, roots: DataFrame, verified, seed: int) -> DataFrame:
-    """Pairs (x, y) of one bucket but two components, such that no other pair of that kind can be similar."""
-    pairs = None
-    for places, keys in (*LEVELS, (0, 0)):
-        rooted = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        size = rooted.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket", "size")
-        mixed = stash(rooted.join(size, "bucket"), "copies-mixed")
-        found = _paired_out(mixed.where(F.col("size") <= SMALL))
-        pairs = found if pairs is None else pairs.union(found)
-        large = mixed.where(F.col("size") > SMALL)
-        if not large.limit(1).count():
-            return pairs
-        if places:
-            buckets = _shared(_keys(unique.join(large.select("node").distinct(), "node", "left_semi"), places, keys, seed))
-    while large.limit(1).count():  # agree in 16 places and yet are no copies of each other: one member after another
-        heads = large.groupBy("bucket").agg(F.min("node").alias("y"), F.min_by("root", "node").alias("root_y"))
-        tried = large.join(heads, "bucket").where("node != y")
-        pairs = pairs.union(verified(tried.where("root != root_y").select(F.col("node").alias("x"), "y")))
-        left = stash(tried.withColumn("size", F.col("size") - 1).select("bucket", "node", "root", "size"), "copies-large")
-        pairs = pairs.union(_paired_out(left.where(F.col("size") <= SMALL)))
-        large = left.where(F.col("size") > SMALL)
-    return pairs
+def _across(buckets: DataFrame, sets: DataFrame, roots: DataFrame, like: float) -> DataFrame:
+    """Pairs (x, y) of two components such that no other pair of one bucket and two components can be similar."""
+    rooted = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    size = rooted.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket", "size")
+    mixed = stash(rooted.join(size, "bucket"), "copies-mixed")
+    pairs = _paired_out(mixed.where(F.col("size") <= SMALL))
+    large = mixed.where(F.col("size") > SMALL).select("node", "root").distinct()
+    return pairs.union(_by_rare_shingles(sets.join(large, "node"), like)) if large.limit(1).count() else pairs
+
+
+def _by_rare_shingles(members: DataFrame, like: float) -> DataFrame:
+    """Pairs (x, y) of unequal roots that share a shingle among the rarest that two similar sets can't both miss."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, own in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "own")), strict=True):
+                x = np.frombuffer(own, np.int64)
+                for at in range(0, len(x), 1 << 16):
+                    part = x[at : at + (1 << 16)]
+                    yield pa.record_batch([pa.array(np.full(len(part), v, np.int64)) for v in (node, root, len(x))] + [pa.array(part)], names=["node", "root", "n", "shingle"])
+
+    spelled = stash(members.select("node", "root", "own").mapInArrow(spell, "node long, root long, n long, shingle long"), "copies-spelled")
+    often = spelled.groupBy("shingle").agg(F.count("*").alias("often"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    needed = F.col("n") - F.ceil(F.col("n") * like - 1e-9) + 1
+    rare = stash(spelled.join(often, "shingle").withColumn("nth", nth).where((F.col("nth") <= needed) & (F.col("often") > 1)).select("shingle", "node", "root", "n"), "copies-rare")
+    a, b = rare.alias("a"), rare.alias("b")
+    close = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (F.least("a.n", "b.n") >= like * F.greatest("a.n", "b.n") - 1e-9)
+    return a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & close).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
 
 
 def _paired_out(members: DataFrame) -> DataFrame:

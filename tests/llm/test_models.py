@@ -132,6 +132,21 @@ def test_near_classes_match_brute_force(spark):
     assert nearcopies.near_classes(docs.where("false")).count() == 0
 
 
+def test_rare_shingles_meet_all_similar_sets(spark):
+    rng = np.random.default_rng(6)
+    shared = rng.integers(-(1 << 60), 1 << 60, 300)
+    sets = []
+    for i in range(60):  # texts that share most of one passage and differ in the rest
+        own = rng.integers(-(1 << 60), 1 << 60, int(rng.integers(5, 120)))
+        kin = sets[i - 1][-60:] if i % 3 == 2 else own[:0]
+        sets.append(np.unique(np.concatenate([rng.choice(shared, int(rng.integers(200, 300)), replace=False), own, kin])))
+    rows = [(i, i, bytearray(np.sort(s.view(np.uint64)).tobytes())) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "node long, root long, own binary")
+    got = {(r.x, r.y) for r in nearcopies._by_rare_shingles(frame, 0.8).collect()}
+    near = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert near and near <= got and len(got) < 60 * 59 // 2
+
+
 def test_long_texts_keep_apart():
     rng = np.random.default_rng(8)
     one, other = (b" ".join(b"%d" % i for i in rng.integers(0, 1 << 30, 200_000)) for _ in range(2))
