@@ -42,7 +42,7 @@ def main() -> None:
 
     data = dataset(spark, sf_dir)
     began = time.time()
-    data.table.write.parquet(f"{work}/wide.gt.parquet")
+    data.write(f"{work}/wide")
     times["ingest"] = round(time.time() - began, 3)
     data = Genotypes(spark.read.parquet(f"{work}/wide.gt.parquet"), data.samples.cache(), data.n)
     timed("freq", lambda: freq(data, counts=True))
