@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import langid, minhash, mixing, neighbours, pieces, repeats, simhash, tokencount, tokenfile, toxicity
 from .common import table
 from .mixing_sql import mix_sql
+from .repeats_sql import repeats_sql
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -66,4 +67,4 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_curve_neighbours, op2_suffix_array_dedup, op3_token_counts, op4_token_files, op5_mix_sources, op6_toxicity, op7_sentencepiece, op8_simhash_near_dedup, op9_language_id, op10_minhash_fingerprints)}
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": mix_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_array_dedup": repeats_sql(), "op5_mix_sources": mix_sql()}
