@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import bounded_broadcast, stash
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -118,10 +118,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row repeated round(taken/size) times (a size of 0: once)."""
+    """``docs`` with each row repeated round(taken/size) times (a size of 0: once).
+
+    Rows that share doc_id, source and size share the mean of their counts.
+    The plan goes to the texts where it is small enough to be sent everywhere,
+    else both are shuffled. Columns may have any name.
+    """
     copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(1)
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum(copies).alias("_copies"), F.count("*").alias("_rows"))
-    sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
-    same = sized["doc_id"].eqNullSafe(plan["_id"]) & sized["source"].eqNullSafe(plan["_source"]) & (sized["_words"] == plan["_size"])
-    each = F.round(F.col("_copies") / F.col("_rows")).cast("int")
-    return sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(0), each))).where("_copy > 0").select(*docs.columns)
+    key = [F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size")]
+    plan = mix(docs, **options).groupBy(*key).agg(F.round(F.sum(copies) / F.count("*")).cast("int").alias("p_copies"))
+    plan = bounded_broadcast(stash(plan, "mix-plan"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = docs.select(row.alias("r"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("words"))
+    same = F.col("r.doc_id").cast("long").eqNullSafe(F.col("p_id")) & F.col("r.source").eqNullSafe(F.col("p_source")) & (F.col("words") == F.col("p_size"))
+    return sized.join(plan, same).where("p_copies > 0").select("r", F.explode(F.sequence(F.lit(1), "p_copies"))).select("r.*")

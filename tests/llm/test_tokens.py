@@ -22,9 +22,7 @@ texts = st.text(alphabet=st.one_of(st.sampled_from(" \n\t'ab1.,▁é語\x1c\xa0"
 
 @pytest.fixture(scope="module")
 def bpe():
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t, tokenfile.UnitEncoder(BPE)
+    return Tokenizer.from_file(BPE), tokenfile.UnitEncoder(BPE, added=True)
 
 
 @pytest.fixture(scope="module")
