@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, stash
+from .common import parallelism, sampled, stash
 
 CURVES = 6
 PROJECTED = 8
@@ -40,7 +40,8 @@ RECALL = 0.95
 FIT_ROWS = 10_000
 FIT_QUERIES = 96
 SEED = 42
-_EXTRA = 8
+#: Queries in one group, at most about.
+MOST_QUERIES = 20_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -109,13 +110,31 @@ def usable(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
     return rows.where(v.isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def _nearest(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and exact distances of the k nearest candidates of each query; ties beyond k are kept out by place."""
-    square = (q * q).sum(axis=1)[:, None] - 2 * q @ c.T + (c * c).sum(axis=1)[None]
-    k = min(k, len(c))
-    place = np.argpartition(square, k - 1, axis=1)[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(q), 1))
-    diff = q[:, None, :] - c[place]
-    return place, np.sqrt((diff * diff).sum(axis=2))
+def _nearest(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, exact distance) of all pairs as near as each query's k-th nearest candidate, ties and near ties included."""
+    squares, own = (c * c).sum(axis=1)[None], (q * q).sum(axis=1)[:, None]
+    square = own - 2 * q @ c.T + squares
+    if k < len(c):
+        # Rounding of the expanded square is far below this share of its terms.
+        margin = 1e-12 * (own[:, 0] + squares.max()) + 1e-300
+        limit = np.partition(square, k - 1, axis=1)[:, k - 1] + margin
+        i, j = np.nonzero(square <= limit[:, None])
+    else:
+        i, j = np.divmod(np.arange(len(q) * len(c)), max(len(c), 1))
+    d = np.empty(len(i))
+    for at in range(0, len(i), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        diff = q[i[part]] - c[j[part]]
+        d[part] = np.sqrt((diff * diff).sum(axis=1))
+    return i, j, d
+
+
+def _first_k(i: np.ndarray, d: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k first pairs by (distance, tie)."""
+    order = np.lexsort((tie, d, i))
+    i = i[order]
+    nth = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+    return order[nth < k]
 
 
 def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -143,8 +162,7 @@ def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
     asked = vector.where(F.col("id") % every == 0).select("h", "v").distinct().withColumn("asked", F.lit(True))
     entries = ids.join(asked, ["h", "v"], "left").select(F.xxhash64("h", F.element_at("ids", 1)).alias("e"), "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
     entries = stash(entries, "ann-entries")
-    part = F.pmod(F.xxhash64("e", F.lit(SEED)), F.lit(1_000_000))
-    sample = entries.where(part < max(1, int(1e6 * min(1.0, FIT_ROWS / total)))).select("v").limit(2 * FIT_ROWS).toPandas()["v"]
+    sample = entries.where(sampled(FIT_ROWS / total, SEED, "e")).select("v").limit(2 * FIT_ROWS).toPandas()["v"]
     curves = Curves(np.stack([np.asarray(x) for x in sample]) if len(sample) else np.eye(dim))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +202,12 @@ def search(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
     coarse = max(1, min(MOST_BLOCKS, width // 2))
     unit = lambda b: F.floor(b / coarse)
     reach = F.sequence(unit(F.greatest(F.lit(0), F.col("block") - width)), unit(F.least(F.col("blocks") - 1, F.col("block") + width)))
-    asking = laid.where("asked").select(F.col("curve").alias("q_curve"), F.explode(reach).alias("q_block"), F.col("e").alias("q"), F.col("v").alias("q_v"))
-    standing = laid.select(F.col("curve").alias("c_curve"), unit(F.col("block")).alias("c_block"), F.col("e").alias("c"), F.element_at("ids", 1).alias("c_first"), F.col("v").alias("c_v"))
-    found = standing.groupBy("c_curve", "c_block").cogroup(asking.groupBy("q_curve", "q_block")).applyInPandas(_rank_block(k + 1), "q long, c long, first long, d double")
+    # A group holds at most about MOST_QUERIES queries: they are dealt to as many parts as that takes, each with the block's candidates.
+    waiting = laid.where("asked").groupBy("curve", unit(F.col("block")).alias("b")).count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-waiting * (2 * width // coarse + 2) // MOST_QUERIES))
+    asking = laid.where("asked").select(F.col("curve").alias("q_curve"), F.explode(reach).alias("q_block"), F.pmod("e", F.lit(parts)).alias("q_part"), F.col("e").alias("q"), F.col("v").alias("q_v"))
+    standing = laid.select(F.col("curve").alias("c_curve"), unit(F.col("block")).alias("c_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("c_part"), F.col("e").alias("c"), F.element_at("ids", 1).alias("c_first"), F.col("v").alias("c_v"))
+    found = standing.groupBy("c_curve", "c_block", "c_part").cogroup(asking.groupBy("q_curve", "q_block", "q_part")).applyInPandas(_rank_block(k + 1), "q long, c long, first long, d double")
     best = found.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "first"))).where(F.col("nth") <= k + 1)
     named = best.join(entries.select(F.col("e").alias("c"), F.explode("ids").alias("vec_id")), "c").select("q", "d", "vec_id")
     top = named.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("nth") <= k + 1).select("q", "d", "vec_id")
@@ -204,16 +225,14 @@ def _rank_block(k: int):
         empty = np.empty(0, np.int64)
         if candidates.empty or queries.empty:
             return pd.DataFrame({"q": empty, "c": empty, "first": empty, "d": np.empty(0)})
-        candidates = candidates.sort_values("c_first")
         c, ids, first = np.stack(candidates["c_v"].to_numpy()), candidates["c"].to_numpy(), candidates["c_first"].to_numpy()
         out = []
         for at in range(0, len(queries), 256):
             part = queries.iloc[at : at + 256]
-            place, d = _nearest(np.stack(part["q_v"].to_numpy()), c, k + _EXTRA)
-            order = np.lexsort((first[place], d), axis=1)[:, :k]
-            place, d = np.take_along_axis(place, order, 1), np.take_along_axis(d, order, 1)
-            flat = place.ravel()
-            out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), place.shape[1]), "c": ids[flat], "first": first[flat], "d": d.ravel()}))
+            i, j, d = _nearest(np.stack(part["q_v"].to_numpy()), c, k)
+            best = _first_k(i, d, first[j], k)
+            i, j, d = i[best], j[best], d[best]
+            out.append(pd.DataFrame({"q": part["q"].to_numpy()[i], "c": ids[j], "first": first[j], "d": d}))
         return pd.concat(out)
 
     return run
@@ -225,23 +244,23 @@ def _window(laid: DataFrame, entries: DataFrame, k: int, recall: float, most: in
     total = asked.count()
     if not total:
         return 0
-    part = F.pmod(F.xxhash64("e", F.lit(SEED + 1)), F.lit(1_000_000))
-    few = asked.where(part < max(1, int(1e6 * min(1.0, FIT_QUERIES / total)))).select("e", "v").limit(2 * FIT_QUERIES).toPandas()
+    few = asked.where(sampled(FIT_QUERIES / total, SEED + 1, "e")).select("e", "v").limit(2 * FIT_QUERIES).toPandas()
     if few.empty:
         few = asked.orderBy("e").limit(FIT_QUERIES).select("e", "v").toPandas()
     q, names = np.stack([np.asarray(x) for x in few["v"]]), few["e"].to_numpy()
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d, best_e = np.full((len(q), k + 1), np.inf), np.zeros((len(q), k + 1), np.int64)
+        i, e, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for batch in batches:
             if batch.num_rows:
-                place, d = _nearest(q, _matrix(batch.column("v")), k + 1)
-                d = np.concatenate([best_d, d], axis=1)
-                e = np.concatenate([best_e, batch.column("e").to_numpy(zero_copy_only=False)[place]], axis=1)
-                order = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-                best_d, best_e = np.take_along_axis(d, order, 1), np.take_along_axis(e, order, 1)
-        good = np.isfinite(best_d)
-        yield pa.record_batch([pa.array(np.repeat(names, k + 1)[good.ravel()]), pa.array(best_e[good]), pa.array(best_d[good])], names=["q", "e", "d"])
+                own = batch.column("e").to_numpy(zero_copy_only=False)
+                m = _matrix(batch.column("v"))
+                for at in range(0, len(m), 4096):
+                    a, b, x = _nearest(q, m[at : at + 4096], k + 1)
+                    i, e, d = np.concatenate([i, a]), np.concatenate([e, own[at + b]]), np.concatenate([d, x])
+                    best = _first_k(i, d, e, k + 1)
+                    i, e, d = i[best], e[best], d[best]
+        yield pa.record_batch([pa.array(names[i]), pa.array(e), pa.array(d)], names=["q", "e", "d"])
 
     near = entries.select("e", "v").mapInArrow(brute, "q long, e long, d double").where("q != e")
     true = near.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "e"))).where(F.col("nth") <= k).select("q", "e")
